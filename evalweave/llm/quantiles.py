@@ -185,7 +185,7 @@ def distinct_calls(calls: DataFrame, group_cols: list[str], value_col: str, id_c
     names = [*group_cols, *(["day"] if time_col else [])]
     src = calls.select(*[clean_group(F.col(c)).alias(c) for c in group_cols], *([F.to_date(F.col(time_col)).alias("day")] if time_col else []), F.col(id_col).alias("_id"), F.col(value_col).cast("double").alias("value"))
     src = src.withColumn("_salt", F.pmod(F.xxhash64(F.coalesce(F.col("_id"), F.xxhash64("value", *names))), F.lit(salts)).cast("int"))
-    spread = src.repartition(*group_cols, "_salt")
+    spread = src.repartition(*names, "_salt")
     return spread.groupBy(*group_cols, "_salt", *names[len(group_cols) :], F.coalesce("_id", F.xxhash64("value", *names)).alias("_id")).agg(F.max("value").alias("value")).drop("_salt", "_id")
 
 

@@ -55,13 +55,13 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
     groups = ["dataset", "config_id", "day"]
-    parts = quantiles.build_sketches(_calls(spark, d, "called_at", salts=1), groups)
+    parts = quantiles.build_sketches(_calls(spark, d, "called_at", salts=4), groups)
     return quantiles.read_percentiles(quantiles.merge_sketches(parts, groups, fan_in=1), groups, PERCENTILES)
 
 
 def p3_days_joined(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of the whole, from the merged sketches of the single days."""
-    days = quantiles.merge_sketches(quantiles.build_sketches(_calls(spark, d, "called_at", salts=1), ["dataset", "config_id", "day"]), ["dataset", "config_id", "day"], fan_in=1)
+    days = quantiles.merge_sketches(quantiles.build_sketches(_calls(spark, d, "called_at", salts=4), ["dataset", "config_id", "day"]), ["dataset", "config_id", "day"], fan_in=1)
     groups = ["dataset", "config_id"]
     return quantiles.read_percentiles(quantiles.merge_sketches(days.drop("day"), groups), groups, PERCENTILES)
 
