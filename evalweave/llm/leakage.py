@@ -21,6 +21,7 @@ import html
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 K1, B = 0.9, 0.4
 BLOCK = 16
+MAX_RANGES = 256
 TAG = re.compile(r"<[^<>]{0,200}>")
 WORD = re.compile(r"[^\W_]+")
 APOSTROPHE = re.compile(r"(?<=\w)['’‘`´](?=\w)")
@@ -74,18 +76,34 @@ class ItemIndex:
         self.block_last = [[d[min(lo + BLOCK, len(d)) - 1] for lo in range(0, len(d), BLOCK)] for d in self.docs]
         self.block_max = [[max(v[lo : lo + BLOCK]) for lo in range(0, len(v), BLOCK)] for v in self.imps]
         self.term_max = np.array([max(v) for v in self.imps] or [0.0])
+        # per term and range of items the largest impact: whole ranges fall away at one sum
+        self.width = max(2, -(-n // MAX_RANGES))
+        self.range_max = np.zeros((len(self.docs), max(1, -(-n // self.width))), np.float32)
+        for t, (d, v) in enumerate(zip(self.docs, self.imps)):
+            np.maximum.at(self.range_max[t], np.asarray(d) // self.width, np.asarray(v, np.float32))
         self.bigrams = [set(zip(t, t[1:])) for t in self.tokens]
 
     def search(self, terms: list[int], theta: float) -> list[tuple[int, float]]:
-        """All (item, score) with score >= theta, by block-max WAND with a fixed threshold."""
-        end = len(self.ids)
-        cur = [[self.docs[t][0], 0, t] for t in terms]  # next item, place, term
+        """All (item, score) with score >= theta, by block-max WAND with a fixed threshold within the ranges whose bound reaches it."""
+        bound = self.range_max[terms].sum(0)
+        hits = []
+        for r in np.flatnonzero(bound >= theta - 1e-4).tolist():
+            hits += self._wand(terms, r * self.width, min(len(self.ids), (r + 1) * self.width), theta)
+        return hits
+
+    def _wand(self, terms: list[int], begin: int, end: int, theta: float) -> list[tuple[int, float]]:
+        cur = []  # next item, place, term
+        for t in terms:
+            d = self.docs[t]
+            p = bisect_left(d, begin)
+            if p < len(d) and d[p] < end:
+                cur.append([d[p], p, t])
         hits = []
         while True:
             cur.sort()
             acc, pivot = 0.0, -1
             for j, (d, _, t) in enumerate(cur):
-                if d == end:
+                if d >= end:
                     break
                 acc += self.term_max[t]
                 if acc >= theta:
@@ -128,7 +146,7 @@ class ItemIndex:
                     p = max(p, b * BLOCK)
                     while p < len(d) and d[p] < target:
                         p += 1
-                    c[0], c[1] = (d[p] if p < len(d) else end), p
+                    c[0], c[1] = (min(d[p], end) if p < len(d) else end), p
 
 
 def covered(item: list[str], doc: list[str], gap: int = 4, least: int = 5) -> float:
@@ -167,7 +185,7 @@ def find_leaks(
     ``theta`` is the BM25 threshold per item kind as a part of the item's
     self-score, ``share`` the verified share of its words.
     """
-    theta = theta or {"passage": 0.10, "question": 0.35}
+    theta = theta or {"passage": 0.20, "question": 0.40}
     share = share or {"passage": 0.4, "question": 0.88}
     spark = docs.sparkSession
     n = items.count()
@@ -195,7 +213,7 @@ def find_leaks(
                     cand = set()
                     for lo in range(0, max(1, len(toks) - step), step):
                         terms = list({t for t in known[lo : lo + window] if t >= 0})
-                        if terms and ix.term_max[terms].sum() >= low:
+                        if terms:
                             cand.update(x for x, v in ix.search(terms, low) if v >= theta.get(ix.kinds[x], low))
                     if not cand:
                         continue
