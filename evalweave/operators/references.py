@@ -33,14 +33,14 @@ def clean_key(col: Column) -> Column:
 def references(df: DataFrame, table_name: str, ref_column: str, row_id: str, at: str, target: str, group: str = "dataset") -> DataFrame:
     """The references of one column in a common form."""
     return df.select(
-        F.lit(table_name).alias("table_name"), F.lit(ref_column).alias("ref_column"), F.col(row_id).cast("long").alias("row_id"), F.lit(target).alias("target"), F.col(group).alias("grp"), clean_key(F.col(ref_column)).alias("key"), F.col(at).alias("at")
+        F.lit(table_name).alias("table_name"), F.lit(ref_column).alias("ref_column"), F.col(row_id).cast("long").alias("row_id"), F.lit(target).alias("target"), F.col(group).alias("grp"), clean_key(F.col(ref_column)).alias("key"), F.col(at).cast("timestamp_ntz").alias("at")
     ).where("key is not null")
 
 
 def parents(df: DataFrame, target: str, key: str, begins: str, ends: str | None = None, group: str = "dataset") -> DataFrame:
     """The parent rows in a common form: in force from ``begins`` until before ``ends``."""
-    end = F.col(ends) if ends else F.lit(None).cast("timestamp")
-    return df.select(F.lit(target).alias("target"), F.col(group).alias("grp"), clean_key(F.col(key)).alias("key"), F.col(begins).alias("begins"), end.alias("ends")).where("key is not null")
+    end = F.col(ends).cast("timestamp_ntz") if ends else F.lit(None).cast("timestamp_ntz")
+    return df.select(F.lit(target).alias("target"), F.col(group).alias("grp"), clean_key(F.col(key)).alias("key"), F.col(begins).cast("timestamp_ntz").alias("begins"), end.alias("ends")).where("key is not null")
 
 
 def orphan_references(refs: list[DataFrame], targets: list[DataFrame]) -> DataFrame:
@@ -50,12 +50,12 @@ def orphan_references(refs: list[DataFrame], targets: list[DataFrame]) -> DataFr
     keys = ["target", "grp", "key"]
     distinct = r.select(*keys, "at").distinct()
     # deliveries that say the same are one interval; null groups meet null groups
-    spans = p.groupBy(*keys, "begins").agg(F.max(F.coalesce("ends", F.lit("9999-12-31").cast("timestamp"))).alias("ends"))
+    spans = p.groupBy(*keys, "begins").agg(F.max(F.coalesce("ends", F.lit("9999-12-31").cast("timestamp_ntz"))).alias("ends"))
     c, s = distinct.alias("c"), spans.alias("s")
     same = (F.col("c.target") == F.col("s.target")) & F.col("c.grp").eqNullSafe(F.col("s.grp")) & (F.col("c.key") == F.col("s.key"))
-    held = same & (F.col("c.at").isNull() | (F.coalesce(F.col("s.begins"), F.lit("0001-01-01").cast("timestamp")) <= F.col("c.at")) & (F.col("c.at") < F.col("s.ends")))
+    held = same & (F.col("c.at").isNull() | (F.coalesce(F.col("s.begins"), F.lit("0001-01-01").cast("timestamp_ntz")) <= F.col("c.at")) & (F.col("c.at") < F.col("s.ends")))
     orphans = c.join(s, held, "left_anti").alias("c")
-    first = p.groupBy(*keys).agg(F.min(F.coalesce("begins", F.lit("0001-01-01").cast("timestamp"))).alias("first_begins")).alias("s")
+    first = p.groupBy(*keys).agg(F.min(F.coalesce("begins", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("first_begins")).alias("s")
     why = F.when(F.col("s.first_begins").isNull(), F.lit("missing")).when(F.col("s.first_begins") > F.col("c.at"), F.lit("late")).otherwise(F.lit("deleted"))
     judged = orphans.join(first, same, "left").select("c.target", "c.grp", "c.key", "c.at", why.alias("reason")).alias("j")
     a = r.alias("a")

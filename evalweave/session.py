@@ -1,10 +1,12 @@
-"""Session helpers: settings for large runs, reliable checkpoints, shipping of Python code."""
+"""Session helpers: settings for large runs, reliable checkpoints."""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from typing import Any
 
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +38,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship_by_value(module: object) -> None:
-    """Send the functions of a module with the tasks, so that executors need not have it installed."""
-    cloudpickle.register_pickle_by_value(module)
+def share(spark: SparkSession, obj: object) -> Broadcast:
+    """Broadcast an object of the package; its class travels with it.  Read it with ``received``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+
+
+def received(b: Broadcast) -> Any:
+    return pickle.loads(b.value)
