@@ -1,7 +1 @@
 """Operators on training text; nothing else in the package imports this subpackage."""
-
-import sys
-
-from evalweave.session import ship_by_value
-
-ship_by_value(sys.modules[__name__])

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.session import received, share
+
 K1, B = 0.9, 0.4
 BLOCK = 16
 MAX_RANGES = 256
@@ -177,16 +179,16 @@ def find_leaks(
     text_col: str = "text",
     window: int = 96,
     theta: dict[str, float] | None = None,
-    share: dict[str, float] | None = None,
+    least: dict[str, float] | None = None,
     shard_items: int = 20_000,
 ) -> DataFrame:
     """(doc id, item_id, share): every document that holds a fitting share of an item.
 
     ``theta`` is the BM25 threshold per item kind as a part of the item's
-    self-score, ``share`` the verified share of its words.
+    self-score, ``least`` the verified share of its words.
     """
     theta = theta or {"passage": 0.20, "question": 0.40}
-    share = share or {"passage": 0.4, "question": 0.88}
+    least = least or {"passage": 0.4, "question": 0.88}
     spark = docs.sparkSession
     n = items.count()
     shards = max(1, math.ceil(n / shard_items))
@@ -197,10 +199,10 @@ def find_leaks(
     out = None
     for s in range(shards):
         rows = it.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in rows]))
+        index = share(spark, ItemIndex([tuple(r) for r in rows]))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ix = index.value
+        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            ix = received(index)
             low = min(theta.values())
             for pdf in batches:
                 found = []
@@ -219,10 +221,10 @@ def find_leaks(
                         continue
                     pairs = set(zip(toks, toks[1:]))
                     for x in cand:
-                        if len(pairs & ix.bigrams[x]) < 0.5 * share.get(ix.kinds[x], 0.4) * len(ix.bigrams[x]):
+                        if len(pairs & ix.bigrams[x]) < 0.5 * least.get(ix.kinds[x], 0.4) * len(ix.bigrams[x]):
                             continue
                         c = covered(ix.tokens[x], toks)
-                        if c >= share.get(ix.kinds[x], 0.4):
+                        if c >= least.get(ix.kinds[x], 0.4):
                             found.append((did, ix.ids[x], min(1.0, c)))
                 yield pd.DataFrame(found, columns=["id", "item_id", "share"])
 

@@ -99,9 +99,10 @@ def mix_sources(
     weights: DataFrame,
     id_col: str = "doc_id",
     total_tokens: int | None = None,
-    shards: int = 16,
+    shards: int | None = None,
     block_tokens: int = 20_000,
-    max_blocks: int = 4096,
+    max_blocks: int = 16_384,
+    shard_tokens: int = 20_000_000,
     seed: int = 7,
     tokenizer: str = TOKENIZER,
     text_col: str = "text",
@@ -111,7 +112,8 @@ def mix_sources(
 
     mixture: id, source, copy_no, shard, position, n_tokens, one row per use of a record.
     report: per source of the weight table the target and the reached share.
-    ``total_tokens`` defaults to the tokens of all listed sources.
+    ``total_tokens`` defaults to the tokens of all listed sources, ``shards`` to
+    one per ``shard_tokens``, at least 16 and at most 4,096.
     """
     spark = docs.sparkSession
     # the weight table is a setting: one row per source
@@ -132,6 +134,7 @@ def mix_sources(
 
     total = total_tokens if total_tokens is not None else sum(tokens.values())
     quota = fill_quotas(w, {s: float(tokens[s] * reps[s]) for s in names}, float(total))
+    shards = shards or int(min(4096, max(16, -(-total // shard_tokens))))
     rng = np.random.default_rng(seed)
     lists: dict[str, list[tuple[int, int, int | None]]] = {}  # (block, copy, tokens wanted of it or all)
     for s in names:
