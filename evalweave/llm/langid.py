@@ -98,6 +98,8 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts with a space around each, and where each starts."""
     clean = [" " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " " for t in texts]
     lens = np.fromiter((len(t) for t in clean), np.int64, len(clean))
+    if not clean:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     codes = np.frombuffer("".join(clean).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     return codes, np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
 
@@ -152,20 +154,21 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, alpha: float = 0.
     seed_of = np.arange(len(LANGS))
     texts = list(texts)
     labels = np.asarray(labels, int)
-    grams = []
+    grams = []  # per group: hashes of each order, owner of each place
     for group in (texts, seeds):
-        if not group:
-            grams.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            continue
         codes, starts = _codes(group)
-        owner = np.repeat(np.arange(len(group)), np.diff(np.append(starts, len(codes))))
-        grams.append((np.concatenate([_grams(codes, n) for n in ORDERS]), np.tile(owner, len(ORDERS))))
+        owner = np.repeat(np.arange(len(group), dtype=np.int32), np.diff(np.append(starts, len(codes))))
+        grams.append(([_grams(codes, n).astype(np.int32) for n in ORDERS], owner))
+
+    def tally(group: int, label: np.ndarray) -> np.ndarray:
+        hashes, owner = grams[group]
+        row = label[owner].astype(np.int64) * TABLE
+        return sum(np.bincount(row + h, minlength=len(LANGS) * TABLE) for h in hashes).reshape(len(LANGS), TABLE).astype(np.float64)
+
     model = EcocModel(np.zeros((TABLE, BITS), np.float32))
+    fixed = 2.0 * tally(1, seed_of)
     for r in range(rounds):
-        counts = np.zeros((len(LANGS), TABLE), np.float64)
-        if len(texts):
-            np.add.at(counts, (labels[grams[0][1]], grams[0][0]), 1.0)
-        np.add.at(counts, (seed_of[grams[1][1]], grams[1][0]), 2.0)
+        counts = fixed + (tally(0, labels) if len(texts) else 0.0)
         probs = (counts + alpha * 0.02) / (counts.sum(1, keepdims=True) + alpha * 0.02 * TABLE)
         w = np.zeros((TABLE, BITS), np.float32)
         for b in range(BITS):
