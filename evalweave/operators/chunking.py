@@ -40,20 +40,19 @@ def chunk_fixed(docs: DataFrame, size: int = 256, **kw) -> DataFrame:
 
 def chunk_packed(docs: DataFrame, max_tokens: int = 384, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Whole sentences packed up to ``max_tokens``; a longer sentence is a chunk by itself."""
-    # sentence lengths are turned into chunk numbers by a fold over sizes, so texts are joined only once each
     s = docs.select(*(keep or []), F.col(doc_col), T.sentences(F.col(text_col)).alias("_s")).where(F.size("_s") > 0)
-    s = s.withColumn("_n", F.transform("_s", lambda x: F.size(T.tokens(x))))
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
+    sizes = s.withColumn("_n", F.transform("_s", lambda x: F.size(T.tokens(x))))
+    zero = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
     def step(acc, n):
         new = (acc["n"] > 0) & (acc["n"] + n > max_tokens)
-        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(chunk.alias("chunk"), (F.when(new, F.lit(0)).otherwise(acc["n"]) + n).alias("n"), F.concat(acc["ids"], F.array(chunk)).alias("ids"))
+        starts = F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"])
+        return F.struct(starts.alias("starts"), (F.when(new, F.lit(0)).otherwise(acc["n"]) + n).alias("n"), (acc["i"] + 1).alias("i"))
 
-    s = s.withColumn("_c", F.aggregate("_n", zero, step, lambda a: a["ids"]))
-    e = s.select(*(keep or []), F.col(doc_col).alias("doc_id"), F.posexplode(F.arrays_zip("_s", "_c")).alias("_p", "_z"))
-    g = e.groupBy(*(keep or []), "doc_id", F.col("_z._c").alias("chunk_ix")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.col("_z._s").alias("s")))), lambda x: x["s"]), " ").alias("text"))
-    return g.select(*(keep or []), F.concat("doc_id", F.lit("::c"), F.col("chunk_ix").cast("string")).alias("chunk_id"), "doc_id", "chunk_ix", "text")
+    # a fold over the sentence lengths finds where chunks start; texts are then sliced and joined once, without a shuffle
+    cut = sizes.withColumn("_b", F.aggregate("_n", zero, step, lambda a: F.concat(a["starts"], F.array(a["i"]))))
+    texts = F.transform(F.slice("_b", F.lit(1), F.size("_b") - 1), lambda a, i: F.array_join(F.slice("_s", a + 1, F.element_at("_b", i + 2) - a), " "))
+    return _explode(cut, texts, doc_col, keep or [])
 
 
 def chunk_semantic(docs: DataFrame, embedder: Embedder, max_tokens: int = 384, threshold: float = 0.55, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

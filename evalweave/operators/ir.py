@@ -32,8 +32,8 @@ def ideal(qrels: DataFrame, k: int = 10) -> DataFrame:
     return g.groupBy("dataset", "query_id").agg(F.sum(gain(F.col("rel")) / F.log2(F.col("_i") + 1)).alias("idcg"))
 
 
-def per_query(run: DataFrame, queries: DataFrame, qrels: DataFrame, configs: list[str] | None = None, config_frame: DataFrame | None = None, ks: tuple[int, ...] = KS, depth: int = 10) -> DataFrame:
-    """Metrics per config and query.  ``configs`` are the run's config columns; ``config_frame`` lists all configs, so that a query without hits counts in each."""
+def per_query(run: DataFrame, queries: DataFrame, qrels: DataFrame, configs: list[str] | None = None, config_rows: list[tuple[str, ...]] | None = None, ks: tuple[int, ...] = KS, depth: int = 10) -> DataFrame:
+    """Metrics per config and query.  ``configs`` are the run's config columns; ``config_rows`` lists the values of all configs, so that a query without hits counts in each."""
     configs = configs or []
     by = [*configs, "dataset", "query_id"]
     judged = qrels.select("dataset", "query_id", "doc_id", "rel")
@@ -45,8 +45,9 @@ def per_query(run: DataFrame, queries: DataFrame, qrels: DataFrame, configs: lis
         F.sum(F.when(F.col("doc_rank") <= depth, gain(F.col("rel")) / F.log2(F.col("doc_rank") + 1))).alias("_dcg"),
     )
     base = queries.select("dataset", "query_id").distinct()
-    if config_frame is not None:
-        base = base.crossJoin(F.broadcast(config_frame.select(*configs).distinct()))  # a handful of configs
+    if config_rows:
+        each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(configs, row)]) for row in config_rows]))
+        base = base.withColumn("_c", each).select("dataset", "query_id", "_c.*")
     elif configs:
         base = base.join(run.select(*configs, "dataset").distinct(), "dataset")
     out = base.join(agg, by, "left").join(ideal(qrels, depth), ["dataset", "query_id"], "left")

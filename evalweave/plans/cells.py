@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalweave.operators import chunking, generation, ir, judging, retrieval
 from evalweave.operators.providers import Embedder, HashedWords, Scorer, WordOverlap, Writer
 from evalweave.session import checkpointed
-from evalweave.sources.settings import Experiment, configs_frame
+from evalweave.sources.settings import Experiment
 
 BY = ["chunking", "retrieval", "rerank", "dataset", "query_id"]
 
@@ -64,8 +64,8 @@ def all_runs(queries: DataFrame, chunks: DataFrame, exp: Experiment, embedder: E
 
 def ir_cells(runs: DataFrame, queries: DataFrame, qrels: DataFrame, exp: Experiment) -> DataFrame:
     """Per-query metrics of all cells; queries without hits count in every config."""
-    configs = configs_frame(queries.sparkSession, exp)
-    q = ir.per_query(runs, queries, qrels, ["chunking", "retrieval", "rerank"], configs, exp.k_values)
+    rows = [(c.chunking, c.retrieval, c.rerank) for c in exp.matrix()]
+    q = ir.per_query(runs, queries, qrels, ["chunking", "retrieval", "rerank"], rows, exp.k_values)
     return q.withColumn("config_id", F.concat_ws("__", "chunking", "retrieval", "rerank"))
 
 
