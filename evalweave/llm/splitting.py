@@ -31,6 +31,7 @@ MAX_TOKENS, MAX_CHARS, OVERLAP = 384, 2600, 32
 WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKEN = re.compile(f"[^{WS}]+")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
+UNBLANKED = re.compile("[^。！？、；]+[。！？、；]*|[。！？、；]+")
 CLAUSE_END = re.compile(r"[,;:–—][\"'”’»)\]]*$")
 
 
@@ -63,14 +64,20 @@ def _units(text: str, longest: int) -> list[tuple[int, int, int, int]]:
             strength = 2
         else:
             strength = 1
-        lo = m.start()
-        while m.end() - lo > longest:
-            cut = lo + longest
-            while cut > lo + longest // 2 and (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0f" or text[cut - 1] == "\u200d"):
-                cut -= 1
-            out.append((lo, cut, int(lo == m.start()), strength))
-            lo, strength = cut, 0
-        out.append((lo, m.end(), int(lo == m.start()), strength))
+        lo, begun = m.start(), 1
+        if m.end() - lo > longest:  # a script without blanks, or one long word: cut after its own marks first
+            for part in UNBLANKED.finditer(m[0]):
+                stop = m.start() + part.end()
+                while stop - lo > longest:
+                    cut = lo + longest
+                    while cut > lo + longest // 2 and (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0f" or text[cut - 1] == "\u200d"):
+                        cut -= 1
+                    out.append((lo, cut, begun, strength))
+                    lo, begun, strength = cut, 0, 0
+                if stop < m.end():
+                    out.append((lo, stop, begun, strength))
+                    lo, begun, strength = stop, 0, 3 if text[stop - 1] in "。！？" else 2
+        out.append((lo, m.end(), begun, strength))
         end = m.end()
     return out
 

@@ -26,7 +26,7 @@ def check(text, max_tokens, max_chars, overlap):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab. \n ,é́漢!", max_size=900), st.integers(2, 40), st.integers(12, 200), st.integers(0, 8))
+@given(st.text(alphabet="ab. \n ,é́漢!。、", max_size=900), st.integers(2, 40), st.integers(12, 200), st.integers(0, 8))
 def test_round_trip_and_limits(text, max_tokens, max_chars, overlap):
     check(text, max_tokens, max_chars, overlap)
 
@@ -42,6 +42,8 @@ def test_cuts_at_strong_boundaries():
 
 def test_text_without_blanks_and_very_long():
     check("漢" * 9000, 384, 2600, 32)
+    ps = check("図書館は毎週日曜に開きます。" * 700, 384, 2600, 32)
+    assert all(p[4] == 3 for p in ps[1:])  # cut after a full stop, though no blank follows
     ps = check("word " * 200_000, 384, 2600, 32)
     assert 568 <= len(ps) < 580
 
