@@ -74,6 +74,21 @@ def fill_quotas(weights: dict[str, float], limit: dict[str, float], total: float
     return quota
 
 
+def default_total(weights: dict[str, float], tokens: dict[str, int], repeats: dict[str, int]) -> int:
+    """Tokens of the mixture where none are given.
+
+    A source whose repeats fill its share only of a smaller mixture sets the
+    total, down to half of all tokens; a smaller source is capped instead.
+    """
+    there = [s for s in weights if weights[s] > 0 and tokens.get(s, 0) * repeats[s] > 0]
+    have = sum(tokens.values())
+    if not there:
+        return have
+    w = sum(weights[s] for s in there)
+    most = min(tokens[s] * repeats[s] * w / weights[s] for s in there)
+    return int(min(have, max(most, have / 2)))
+
+
 def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """shards x sources matrix of block counts: the quotas divided exactly, each shard within one block of the others."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -112,8 +127,10 @@ def mix_sources(
 
     mixture: id, source, copy_no, shard, position, n_tokens, one row per use of a record.
     report: per source of the weight table the target and the reached share.
-    ``total_tokens`` defaults to the tokens of all listed sources, ``shards`` to
-    one per ``shard_tokens``, at least 16 and at most 4,096.
+    ``total_tokens`` defaults to the largest total at which every source with
+    records reaches its share within its repeats, but at least half and at most
+    all of the tokens there are (``default_total``); ``shards`` to one per
+    ``shard_tokens``, at least 16 and at most 4,096.
     """
     spark = docs.sparkSession
     # the weight table is a setting: one row per source
@@ -132,7 +149,7 @@ def mix_sources(
     for x in parts.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).collect():
         sizes[x["source"]][x["block"]] = x["t"]
 
-    total = total_tokens if total_tokens is not None else sum(tokens.values())
+    total = total_tokens if total_tokens is not None else default_total(w, tokens, reps)
     quota = fill_quotas(w, {s: float(tokens[s] * reps[s]) for s in names}, float(total))
     shards = shards or int(min(4096, max(16, -(-total // shard_tokens))))
     rng = np.random.default_rng(seed)

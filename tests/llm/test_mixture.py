@@ -14,6 +14,14 @@ def test_quotas():
     assert M.fill_quotas({}, {}, 10.0) == {}
 
 
+def test_default_total():
+    w, r = {"a": 0.9, "b": 0.1, "gone": 0.5}, {"a": 1, "b": 2, "gone": 1}
+    assert M.default_total(w, {"a": 1000, "b": 30, "gone": 0}, r) == 600  # b's 60 tokens are a tenth
+    assert M.default_total(w, {"a": 1000, "b": 1, "gone": 0}, r) == 500  # half of what there is; b is capped
+    assert M.default_total(w, {"a": 1000, "b": 900, "gone": 0}, r) == 1111  # all of a
+    assert M.default_total({}, {}, {}) == 0
+
+
 def test_tree_is_exact_and_even():
     q = np.array([1000, 37, 5, 0])
     for shards in (1, 7, 16):
