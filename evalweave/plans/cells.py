@@ -16,7 +16,10 @@ BY = ["chunking", "retrieval", "rerank", "dataset", "query_id"]
 
 
 def make_chunks(docs: DataFrame, exp: Experiment, text_col: str = "doc_text") -> DataFrame:
-    """chunking, dataset, chunk_id, doc_id, chunk_ix, text of every chunker of the experiment."""
+    """chunking, dataset, chunk_id, doc_id, chunk_ix, text of every chunker of the experiment.
+
+    Indexes, rerankers and contexts all read the chunks, so they are written once to the checkpoint folder.
+    """
     parts = []
     for f in exp.chunking:
         make = chunking.CHUNKERS.get(f.name)
@@ -24,7 +27,7 @@ def make_chunks(docs: DataFrame, exp: Experiment, text_col: str = "doc_text") ->
             raise ValueError(f"no chunker is called {f.name}")
         known = {k: v for k, v in f.params.items() if k in ("size", "overlap", "max_tokens")}
         parts.append(make(docs, text_col=text_col, keep=["dataset"], **known).withColumn("chunking", F.lit(f.name)))
-    return reduce(DataFrame.unionByName, parts)
+    return checkpointed(reduce(DataFrame.unionByName, parts))
 
 
 def base_runs(queries: DataFrame, chunks: DataFrame, exp: Experiment, embedder: Embedder) -> DataFrame:
