@@ -73,6 +73,15 @@ def chunks(name: str, size: int, overlap: int) -> str:
   FROM (SELECT *, unnest(generate_series(0, CASE WHEN len(t) <= {size} THEN 0 ELSE ceil((len(t) - {size}) / {step}::DOUBLE)::BIGINT END)) AS i FROM {name}_t WHERE len(t) > 0))"""
 
 
+def packed(name: str, size: int) -> str:
+    return f"""
+{name}_s AS (SELECT dataset, doc_id, i, l[i] AS s, len({toks('l[i]')}) AS t FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM (SELECT dataset, doc_id, {sents('doc_text')} AS l FROM cor))),
+{name}_p AS (SELECT dataset, doc_id, i, s, 0 AS c, t AS n FROM {name}_s WHERE i = 1
+  UNION ALL SELECT e.dataset, e.doc_id, e.i, e.s, CASE WHEN p.n > 0 AND p.n + e.t > {size} THEN p.c + 1 ELSE p.c END, CASE WHEN p.n > 0 AND p.n + e.t > {size} THEN e.t ELSE p.n + e.t END
+  FROM {name}_p p JOIN {name}_s e ON e.dataset = p.dataset AND e.doc_id = p.doc_id AND e.i = p.i + 1),
+{name} AS (SELECT dataset, doc_id || '::c' || c AS chunk_id, doc_id, c::INT AS chunk_ix, string_agg(s, ' ' ORDER BY i) AS text FROM {name}_p GROUP BY dataset, doc_id, c)"""
+
+
 def bm25(k: int) -> str:
     return f"""
 post AS (SELECT dataset, chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT dataset, chunk_id, len(l) AS dl, unnest(l) AS term FROM (SELECT dataset, chunk_id, {toks('lower(text)')} AS l FROM ch)) GROUP BY dataset, chunk_id, term),
@@ -165,6 +174,23 @@ fl AS (SELECT dataset, query_id, 'chunking' AS variable, f[1] AS level, score FR
 fm AS (SELECT dataset, variable, level, query_id, avg(score) AS m FROM fl GROUP BY ALL),
 ps AS (SELECT a.dataset, a.variable, a.query_id, a.level AS a, b.level AS b, a.m AS x, b.m AS y FROM fm a JOIN fm b ON a.dataset = b.dataset AND a.variable = b.variable AND a.query_id = b.query_id AND a.level < b.level)"""
 
+
+
+def cells() -> str:
+    """Per-query metrics of all twelve configs."""
+    out = []
+    for chunker, ch in (("fixed", chunks("ch", 256, 0)), ("semantic", packed("ch", 384))):
+        for retriever, source in (("bm25", "bm"), ("dense", "dn"), ("hybrid", "hy")):
+            for reranker, run in (("none", "base"), ("cross_encoder", "rr")):
+                names = ", ".join(f'round("{x}", 9) AS "{x}"' for x in METRICS)
+                out.append(
+                    f"""SELECT * FROM (WITH RECURSIVE {TABLES}, {ch}, {bm25(200)}, {dense(200)}, {HYBRID}, base AS (SELECT * FROM {source} WHERE rank <= 100), {RERANK.replace('FROM bm b', 'FROM base b')},
+                    run AS (SELECT dataset, query_id, chunk_id, rank FROM {run}), {DOCS.replace('FROM bm', 'FROM run')}, {IR}
+                    SELECT '{chunker}' AS chunking, '{retriever}' AS retrieval, '{reranker}' AS rerank, dataset, query_id, {names}, '{chunker}__{retriever}__{reranker}' AS config_id FROM pq)"""
+                )
+    return " UNION ALL ".join(out)
+
+
 SHEET = f"""
 sh AS (SELECT dataset, query_id, question, {numbered('contexts')} AS contexts_shown, answer FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42|' || query_id), query_id) AS r FROM gen WHERE config_id = 'fixed__bm25__none') WHERE r <= 200)"""
 
@@ -204,10 +230,16 @@ def sql() -> dict[str, str]:
         "chunk_fixed": f"WITH {TABLES}, {c64} SELECT * FROM ch",
         "chunk_sliding": f"WITH {TABLES}, {chunks('ch', 64, 16)} SELECT * FROM ch",
         "sentences": f"WITH {TABLES} SELECT dataset, doc_id, (i - 1)::INT AS sentence_no, l[i] AS sentence FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM (SELECT dataset, doc_id, {sents('doc_text')} AS l FROM cor))",
-        "chunk_semantic_packed": f"""WITH RECURSIVE {TABLES}, se AS (SELECT dataset, doc_id, i, l[i] AS s, len({toks('l[i]')}) AS t FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM (SELECT dataset, doc_id, {sents('doc_text')} AS l FROM cor))),
-              pk AS (SELECT dataset, doc_id, i, s, 0 AS c, t AS n FROM se WHERE i = 1
-                UNION ALL SELECT e.dataset, e.doc_id, e.i, e.s, CASE WHEN p.n > 0 AND p.n + e.t > 96 THEN p.c + 1 ELSE p.c END, CASE WHEN p.n > 0 AND p.n + e.t > 96 THEN e.t ELSE p.n + e.t END
-                FROM pk p JOIN se e ON e.dataset = p.dataset AND e.doc_id = p.doc_id AND e.i = p.i + 1)
+        "chunk_semantic_packed": f"WITH RECURSIVE {TABLES}, {packed('ch', 96)} SELECT * FROM ch",
+        "chunk_semantic_embed": f"""WITH RECURSIVE {TABLES}, s0 AS (SELECT dataset, doc_id, i, l[i] AS s FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM (SELECT dataset, doc_id, {sents('doc_text')} AS l FROM cor))),
+              s1 AS (SELECT *, len({toks('s')}) AS t, list_transform({toks('lower(s)')}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS bk FROM s0),
+              s2 AS (SELECT *, list_transform(range(64), lambda b: len(list_filter(bk, lambda x: x = b))::DOUBLE) AS c FROM s1),
+              s3 AS (SELECT *, sqrt(list_dot_product(c, c)) + 1e-9 AS w FROM s2),
+              se AS (SELECT dataset, doc_id, i, s, t, list_transform(c, lambda x: x / w) AS v FROM s3),
+              pk AS (SELECT dataset, doc_id, i, s, 0 AS c, t AS n, v FROM se WHERE i = 1
+                UNION ALL SELECT dataset, doc_id, i, s, CASE WHEN nw THEN c + 1 ELSE c END, CASE WHEN nw THEN t ELSE n + t END, CASE WHEN nw THEN ev ELSE list_transform(list_zip(pv, ev), lambda z: z[1] + z[2]) END
+                FROM (SELECT e.dataset, e.doc_id, e.i, e.s, e.t, e.v AS ev, p.c, p.n, p.v AS pv, (p.n + e.t > 384 OR list_dot_product(p.v, e.v) / (sqrt(list_dot_product(p.v, p.v)) + 1e-9) < 0.55) AS nw
+                  FROM pk p JOIN se e ON e.dataset = p.dataset AND e.doc_id = p.doc_id AND e.i = p.i + 1))
               SELECT dataset, doc_id || '::c' || c AS chunk_id, doc_id, c::INT AS chunk_ix, string_agg(s, ' ' ORDER BY i) AS text FROM pk GROUP BY dataset, doc_id, c""",
         "bm25_index_stats": f"WITH {TABLES}, {c64} SELECT dataset, count(*) AS n_chunks, round(avg(len({toks('lower(text)')})), 6) AS avgdl FROM ch GROUP BY dataset",
         "bm25_document_frequency": f"WITH {TABLES}, {c64} SELECT dataset, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT dataset, chunk_id, term, count(*) AS tf FROM (SELECT dataset, chunk_id, unnest({toks('lower(text)')}) AS term FROM ch) GROUP BY ALL) GROUP BY ALL",
@@ -220,6 +252,8 @@ def sql() -> dict[str, str]:
         "run_to_documents": f"{bm}, {DOCS} SELECT * FROM dr",
         "ir_per_query": f"{bm}, {DOCS}, {IR} SELECT dataset, query_id, {m} FROM pq",
         "ir_summary": f"{bm}, {DOCS}, {IR} SELECT dataset, count(*) AS n_queries, {s} FROM pq GROUP BY dataset",
+        "cell_ir_per_query": cells(),
+        "cell_ir_summary": f"SELECT dataset, config_id, chunking, retrieval, rerank, count(*) AS n_queries, {s} FROM ({cells()}) GROUP BY ALL",
         "contexts_top5": f"{bm} SELECT dataset, query_id, count(*)::INT AS n_contexts, string_agg(c.text, chr(10) ORDER BY b.rank) AS joined FROM bm b JOIN ch c USING (dataset, chunk_id) WHERE b.rank <= 5 GROUP BY dataset, query_id",
         "prompt_build": f"WITH {TABLES} SELECT dataset, config_id, query_id, md5({prompt}) AS prompt_md5 FROM gen",
         "gen_cost_latency": f"WITH {TABLES} SELECT dataset, config_id, round(avg(CASE WHEN NOT isnan(latency_ms) THEN latency_ms END), 6) AS mean_latency_ms, round(avg((tokens_in::DOUBLE * 0.15::DOUBLE + tokens_out::DOUBLE * 0.6::DOUBLE) / 1e6 * 0.92::DOUBLE) * 1000, 9) AS cost_eur_per_1k, count(*) AS n_calls FROM gen GROUP BY ALL",
