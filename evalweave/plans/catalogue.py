@@ -163,7 +163,7 @@ def reranked_run(spark, d):
 
 
 def _shown(run):
-    return run.select("dataset", "query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return run.select("dataset", "query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query
@@ -181,7 +181,7 @@ def dense_topk(spark, d):
     """Nearest vectors of every fiftieth vector, itself excluded."""
     v = _read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_vec"), "vec")
-    return retrieval.dense(q, v, 20, "query_vec", "vec_id", exclude_self=True).select("query_vec", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.dense(q, v, 20, "query_vec", "vec_id", exclude_self=True).select("query_vec", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query

@@ -176,13 +176,13 @@ ps AS (SELECT a.dataset, a.variable, a.query_id, a.level AS a, b.level AS b, a.m
 
 
 
-def cells() -> str:
+def cells(digits: int | None = 9) -> str:
     """Per-query metrics of all twelve configs."""
     out = []
     for chunker, ch in (("fixed", chunks("ch", 256, 0)), ("semantic", packed("ch", 384))):
         for retriever, source in (("bm25", "bm"), ("dense", "dn"), ("hybrid", "hy")):
             for reranker, run in (("none", "base"), ("cross_encoder", "rr")):
-                names = ", ".join(f'round("{x}", 9) AS "{x}"' for x in METRICS)
+                names = ", ".join(f'round("{x}", {digits}) AS "{x}"' if digits else f'"{x}"' for x in METRICS)
                 out.append(
                     f"""SELECT * FROM (WITH RECURSIVE {TABLES}, {ch}, {bm25(200)}, {dense(200)}, {HYBRID}, base AS (SELECT * FROM {source} WHERE rank <= 100), {RERANK.replace('FROM bm b', 'FROM base b')},
                     run AS (SELECT dataset, query_id, chunk_id, rank FROM {run}), {DOCS.replace('FROM bm', 'FROM run')}, {IR}
@@ -202,7 +202,7 @@ PROMPT = (
 
 def sql() -> dict[str, str]:
     c64 = chunks("ch", 64, 0)
-    run = "SELECT dataset, query_id, chunk_id, round(score, 6) AS score, rank FROM"
+    run = "SELECT dataset, query_id, chunk_id, score, rank FROM"
     bm = f"WITH {TABLES}, {c64}, {bm25(100)}"
     m = ", ".join(f'round("{x}", 9) AS "{x}"' for x in METRICS)
     s = ", ".join(f'round(avg("{x}"), 9) AS "ir_{x}"' for x in METRICS)
@@ -246,14 +246,14 @@ def sql() -> dict[str, str]:
         "bm25_topk": f"{bm} {run} bm",
         "dense_topk_text": f"WITH {TABLES}, {c64}, {dense(100)} {run} dn",
         "dense_topk": """WITH p AS (SELECT q.vec_id AS query_vec, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
-              SELECT query_vec, vec_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY s DESC, vec_id) AS r FROM p) WHERE r <= 20""",
+              SELECT query_vec, vec_id, s AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY s DESC, vec_id) AS r FROM p) WHERE r <= 20""",
         "hybrid_rrf": f"WITH {TABLES}, {c64}, {bm25(200)}, {dense(200)}, {HYBRID} {run} hy",
         "rerank_topk": f"{bm}, {RERANK} {run} rr",
         "run_to_documents": f"{bm}, {DOCS} SELECT * FROM dr",
         "ir_per_query": f"{bm}, {DOCS}, {IR} SELECT dataset, query_id, {m} FROM pq",
         "ir_summary": f"{bm}, {DOCS}, {IR} SELECT dataset, count(*) AS n_queries, {s} FROM pq GROUP BY dataset",
         "cell_ir_per_query": cells(),
-        "cell_ir_summary": f"SELECT dataset, config_id, chunking, retrieval, rerank, count(*) AS n_queries, {s} FROM ({cells()}) GROUP BY ALL",
+        "cell_ir_summary": f"SELECT dataset, config_id, chunking, retrieval, rerank, count(*) AS n_queries, {s} FROM ({cells(None)}) GROUP BY ALL",
         "contexts_top5": f"{bm} SELECT dataset, query_id, count(*)::INT AS n_contexts, string_agg(c.text, chr(10) ORDER BY b.rank) AS joined FROM bm b JOIN ch c USING (dataset, chunk_id) WHERE b.rank <= 5 GROUP BY dataset, query_id",
         "prompt_build": f"WITH {TABLES} SELECT dataset, config_id, query_id, md5({prompt}) AS prompt_md5 FROM gen",
         "gen_cost_latency": f"WITH {TABLES} SELECT dataset, config_id, round(avg(CASE WHEN NOT isnan(latency_ms) THEN latency_ms END), 6) AS mean_latency_ms, round(avg((tokens_in::DOUBLE * 0.15::DOUBLE + tokens_out::DOUBLE * 0.6::DOUBLE) / 1e6 * 0.92::DOUBLE) * 1000, 9) AS cost_eur_per_1k, count(*) AS n_calls FROM gen GROUP BY ALL",
