@@ -44,12 +44,21 @@ HYPHEN_BREAK = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?=\w)")
 
 def words(text: str | None) -> list[str]:
     """Words without markup, case, accents, apostrophes and line-end hyphens."""
-    t = TAG.sub(" ", html.unescape(text or ""))
-    t = HYPHEN_BREAK.sub("", t.replace("­", "").replace("​", ""))
-    t = unicodedata.normalize("NFKD", t.casefold())
+    t = text or ""
+    if "&" in t:
+        t = html.unescape(t)
+    if "<" in t:
+        t = TAG.sub(" ", t)
     if not t.isascii():
+        t = unicodedata.normalize("NFKD", t.replace("\u00ad", "").replace("\u200b", "").casefold())
         t = "".join(ch for ch in t if not unicodedata.combining(ch))
-    return WORD.findall(APOSTROPHE.sub("", t))
+    else:
+        t = t.lower()
+    if "\n" in t:
+        t = HYPHEN_BREAK.sub("", t)
+    if "'" in t or not t.isascii():
+        t = APOSTROPHE.sub("", t)
+    return WORD.findall(t)
 
 
 class ItemIndex:
@@ -87,10 +96,10 @@ class ItemIndex:
 
     def search(self, terms: list[int], theta: float) -> list[tuple[int, float]]:
         """All (item, score) with score >= theta, by block-max WAND with a fixed threshold within the ranges whose bound reaches it."""
-        bound = self.range_max[terms].sum(0)
+        parts = self.range_max[terms]
         hits = []
-        for r in np.flatnonzero(bound >= theta - 1e-4).tolist():
-            hits += self._wand(terms, r * self.width, min(len(self.ids), (r + 1) * self.width), theta)
+        for r in np.flatnonzero(parts.sum(0) >= theta - 1e-4).tolist():
+            hits += self._wand([terms[i] for i in np.flatnonzero(parts[:, r]).tolist()], r * self.width, min(len(self.ids), (r + 1) * self.width), theta)
         return hits
 
     def _wand(self, terms: list[int], begin: int, end: int, theta: float) -> list[tuple[int, float]]:
