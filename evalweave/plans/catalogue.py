@@ -219,9 +219,10 @@ def ir_summary(spark, d):
     return _rounded(ir.summarise(ir.per_query(bm25_run(spark, d), stated(spark, d), judgements(spark, d)), ["dataset"]), [f"ir_{m}" for m in METRICS])
 
 
-def all_cells(spark, d):
+def all_cells(spark, d, embedder=None):
+    """All cells; without an embedder, as in the SQL, semantic chunks are sentences packed by size."""
     exp = settings.default_experiment()
-    q, c = stated(spark, d), cells.make_chunks(corpus(spark, d), exp)
+    q, c = stated(spark, d), cells.make_chunks(corpus(spark, d), exp, embedder=embedder)
     return exp, q, c, cells.all_runs(q, c, exp)
 
 
@@ -237,6 +238,19 @@ def cell_ir_summary(spark, d):
     return _rounded(cells.summary(cells.ir_cells(runs, q, judgements(spark, d), exp)), [f"ir_{m}" for m in METRICS])
 
 
+@query
+def cell_ir_per_query_embed(spark, d):
+    """As cell_ir_per_query, the semantic cells on similarity-driven chunks."""
+    exp, q, _, runs = all_cells(spark, d, HashedWords())
+    return _rounded(cells.ir_cells(runs, q, judgements(spark, d), exp), METRICS)
+
+
+@query
+def cell_ir_summary_embed(spark, d):
+    exp, q, _, runs = all_cells(spark, d, HashedWords())
+    return _rounded(cells.summary(cells.ir_cells(runs, q, judgements(spark, d), exp)), [f"ir_{m}" for m in METRICS])
+
+
 # ---------------------------------------------------------------- generation and judging
 
 

@@ -15,18 +15,13 @@ from evalweave.sources.settings import Experiment
 BY = ["chunking", "retrieval", "rerank", "dataset", "query_id"]
 
 
-def make_chunks(docs: DataFrame, exp: Experiment, text_col: str = "doc_text") -> DataFrame:
+def make_chunks(docs: DataFrame, exp: Experiment, text_col: str = "doc_text", embedder: Embedder | None = HashedWords()) -> DataFrame:
     """chunking, dataset, chunk_id, doc_id, chunk_ix, text of every chunker of the experiment.
 
     Indexes, rerankers and contexts all read the chunks, so they are written once to the checkpoint folder.
+    ``embedder=None`` is the reference's run without a model: ``semantic`` packs sentences by size alone.
     """
-    parts = []
-    for f in exp.chunking:
-        make = chunking.CHUNKERS.get(f.name)
-        if make is None:
-            raise ValueError(f"no chunker is called {f.name}")
-        known = {k: v for k, v in f.params.items() if k in ("size", "overlap", "max_tokens")}
-        parts.append(make(docs, text_col=text_col, keep=["dataset"], **known).withColumn("chunking", F.lit(f.name)))
+    parts = [chunking.chunk_by_name(f.name, docs, f.params, embedder, text_col=text_col, keep=["dataset"]).withColumn("chunking", F.lit(f.name)) for f in exp.chunking]
     return checkpointed(reduce(DataFrame.unionByName, parts))
 
 

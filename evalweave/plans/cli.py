@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalweave.operators import judging, tables
-from evalweave.operators.providers import FirstSentence
+from evalweave.operators.providers import FirstSentence, HashedWords
 from evalweave.plans import analysis, cells
 from evalweave.sources import files, settings
 
@@ -27,8 +27,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.limit:
         w = Window.partitionBy("dataset").orderBy("query_id")
         queries = queries.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= args.limit).drop("_r")
-    chunks = cells.make_chunks(docs, exp)
-    runs = cells.all_runs(queries, chunks, exp)
+    embedder = HashedWords()
+    chunks = cells.make_chunks(docs, exp, embedder=embedder)
+    runs = cells.all_runs(queries, chunks, exp, embedder)
     if args.config:
         runs = runs.where(F.concat_ws("__", "chunking", "retrieval", "rerank") == args.config)
     per_query = cells.ir_cells(runs, queries, qrels, exp)

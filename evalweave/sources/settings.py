@@ -86,7 +86,7 @@ def load_settings(path: str | Path) -> Experiment:
 
 
 def default_experiment() -> Experiment:
-    return Experiment([Factor("fixed", {"size": 256}), Factor("semantic", {"max_tokens": 384})], [Factor("bm25"), Factor("dense"), Factor("hybrid")], [Factor("none"), Factor("cross_encoder", {"depth": 50})], [DatasetSpec("msmarco"), DatasetSpec("nq")])
+    return Experiment([Factor("fixed", {"size": 256}), Factor("semantic", {"max_tokens": 384, "similarity_threshold": 0.55})], [Factor("bm25"), Factor("dense"), Factor("hybrid")], [Factor("none"), Factor("cross_encoder", {"depth": 50})], [DatasetSpec("msmarco"), DatasetSpec("nq")])
 
 
 def configs_frame(spark: SparkSession, exp: Experiment) -> DataFrame:

@@ -57,3 +57,16 @@ def test_whole_matrix(make):
     assert made.select("config_id").distinct().count() == 12
     s = cells.summary(per, made)
     assert s.count() == 12 and {"ir_nDCG@10", "mean_latency_ms"} <= set(s.columns)
+
+
+def test_semantic_cells_follow_similarity(make):
+    docs = make("dataset string, doc_id string, doc_text string", ("a", "d", "The cat sleeps. The cat eats. Rivers flow east."))
+    exp = settings.parse_settings({"chunking": [{"name": "fixed", "params": {"chunk_size": 4, "overlap": 2}}, {"name": "semantic", "params": {"max_chunk_size": 384, "similarity_threshold": 0.55, "embed_model": "m"}}], "retrieval": [{"name": "bm25"}], "rerank": [{"name": "none"}]})
+    got = {(r.chunking, r.chunk_ix): r.text for r in cells.make_chunks(docs, exp).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "semantic"} == {0: "The cat sleeps. The cat eats.", 1: "Rivers flow east."}
+    assert got["fixed", 1] == "sleeps. The cat eats." and ("fixed", 3) in got
+    alone = cells.make_chunks(docs, exp, embedder=None).where("chunking = 'semantic'").collect()
+    assert [r.text for r in alone] == ["The cat sleeps. The cat eats. Rivers flow east."]
+    exp.chunking[1].params["sise"] = 3
+    with pytest.raises(ValueError, match="sise"):
+        cells.make_chunks(docs, exp)
