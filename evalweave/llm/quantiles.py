@@ -179,14 +179,16 @@ def distinct_calls(calls: DataFrame, group_cols: list[str], value_col: str, id_c
 
     Rows are spread by group and a salt of the call's id, which both copies
     share; the copies meet without a second shuffle, no group meets in one
-    task, and the partitions already suit the sketches.  Calls without an id
-    count as the same call only if groups, time and value agree.
+    task, and the partitions already suit the sketches.  Rows without an id
+    cannot be told to be copies: each counts, in the partition where it is read.
     """
+    day = [F.to_date(F.col(time_col)).alias("day")] if time_col else []
+    src = calls.select(*[clean_group(F.col(c)).alias(c) for c in group_cols], *day, F.col(id_col).alias("_id"), F.col(value_col).cast("double").alias("value"))
     names = [*group_cols, *(["day"] if time_col else [])]
-    src = calls.select(*[clean_group(F.col(c)).alias(c) for c in group_cols], *([F.to_date(F.col(time_col)).alias("day")] if time_col else []), F.col(id_col).alias("_id"), F.col(value_col).cast("double").alias("value"))
-    src = src.withColumn("_salt", F.pmod(F.xxhash64(F.coalesce(F.col("_id"), F.xxhash64("value", *names))), F.lit(salts)).cast("int"))
-    spread = src.repartition(*names, "_salt")
-    return spread.groupBy(*group_cols, "_salt", *names[len(group_cols) :], F.coalesce("_id", F.xxhash64("value", *names)).alias("_id")).agg(F.max("value").alias("value")).drop("_salt", "_id")
+    known = src.where("_id is not null").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+    spread = known.repartition(*names, "_salt")
+    once = spread.groupBy(*names, "_salt", "_id").agg(F.max("value").alias("value")).drop("_salt", "_id")
+    return once.unionByName(src.where("_id is null").drop("_id"))
 
 
 def build_sketches(rows: DataFrame, group_cols: list[str], value_col: str = "value", k: int = K) -> DataFrame:

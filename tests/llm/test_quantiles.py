@@ -69,6 +69,20 @@ def test_groups_copies_nulls_and_days(make):
     assert (joined.n, joined.p50) == (100, 50.0)
 
 
+def test_calls_without_an_id_all_count(make, spark, tmp_path):
+    from evalweave.llm import queries
+
+    rows = [("a", "x", v, None, f"2024-01-0{1 + i % 2} 10:00:00", 1) for i, v in enumerate([5.0] * 30 + [9.0] * 10)]
+    rows += [("a", "x", None, None, "2024-01-01 10:00:00", 1)] * 2 + [("a", "x", 7.0, 1, "2024-01-01 10:00:00", 1)] * 2
+    _calls(make, rows).write.parquet(f"{tmp_path}/gen_calls.parquet")
+    for q in (queries.p3_percentiles, queries.p3_days_joined):
+        r = q(spark, str(tmp_path)).first()
+        assert (r.n, r.n_left_out, r.p50, r.p90) == (41, 2, 5.0, 9.0)
+    assert [r.n for r in queries.p3_daily_percentiles(spark, str(tmp_path)).orderBy("day").collect()] == [21, 20]
+    check = queries.p3_error_check(spark, str(tmp_path)).first()
+    assert check.n_valid == 41 and check.p50_within and check.p999_within
+
+
 def test_empty_table(make):
     g = ["dataset", "config_id"]
     parts = Q.build_sketches(Q.distinct_calls(_calls(make, []), g, "latency_ms", "call_id"), g)
