@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evalweave.operators import agreement, judging
 
 FRAMEWORKS = ["ir_nDCG@10", "ragas_faithfulness", "ares_composite"]
 
 
-def analyse(scores: DataFrame, marks: DataFrame | None = None, labels: DataFrame | None = None, per_query: DataFrame | None = None, a: str = "msmarco", b: str = "nq", n_boot: int = 10_000, seed: int = 42, order: str = "config_ord") -> dict[str, DataFrame]:
-    """Result tables by name.  Score columns that are absent are left out; marks and labels calibrate the judge composite first."""
+def analyse(scores: DataFrame, marks: DataFrame | None = None, labels: DataFrame | None = None, per_query: DataFrame | None = None, a: str = "msmarco", b: str = "nq", n_boot: int = 10_000, seed: int = 42, order: str = "config_ord", alpha: float = 0.05) -> dict[str, DataFrame]:
+    """Result tables by name.  Score columns that are absent are left out; marks and labels calibrate the judge composite first; cells without marks keep theirs.  ``alpha`` is that of the calibration and of the attribution."""
     if marks is not None and labels is not None:
-        cal = judging.ppi(marks, labels, ["dataset", "config_id"])
-        scores = scores.drop("ares_composite", "ares_ci_lo", "ares_ci_hi").join(cal, ["dataset", "config_id"], "left")
+        cal = judging.ppi(marks, labels, ["dataset", "config_id"], alpha).withColumnRenamed("ares_composite", "_cal")
+        raw = F.col("ares_composite") if "ares_composite" in scores.columns else F.lit(None)
+        scores = scores.drop("ares_ci_lo", "ares_ci_hi").join(cal, ["dataset", "config_id"], "left").withColumn("ares_composite", F.coalesce("_cal", raw)).drop("_cal")
     cols = [c for c in FRAMEWORKS if c in scores.columns]
     by = ["dataset", "framework_a", "framework_b"]
     long = agreement.pairs_long(scores, cols, ["dataset", order])
@@ -26,5 +28,5 @@ def analyse(scores: DataFrame, marks: DataFrame | None = None, labels: DataFrame
         "spearman_matrix": agreement.spearman_matrix(scores, cols),
     }
     if per_query is not None:
-        out["variable_attribution"] = agreement.variable_attribution(per_query, ["chunking", "retrieval", "rerank"])
+        out["variable_attribution"] = agreement.variable_attribution(per_query, ["chunking", "retrieval", "rerank"], alpha=alpha)
     return out

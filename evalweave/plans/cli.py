@@ -2,19 +2,24 @@
 
     python -m evalweave.plans.cli run --tables DIR --out DIR [--dataset D] [--config C] [--limit N]
     python -m evalweave.plans.cli analyse --results DIR --out DIR
+
+``analyse`` reads the folder that ``run`` writes, or a folder of the reference:
+<dataset>/<config>/summary.json, retrieval and ares_raw per cell, and
+human_labels/<dataset>.csv.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalweave.operators import judging, tables
 from evalweave.operators.providers import FirstSentence, HashedWords
 from evalweave.plans import analysis, cells
+from evalweave.session import checkpointed
 from evalweave.sources import files, settings
 
 
@@ -30,22 +35,39 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     embedder = HashedWords()
     chunks = cells.make_chunks(docs, exp, embedder=embedder)
     runs = cells.all_runs(queries, chunks, exp, embedder)
+    if args.config and args.config not in {c.config_id for c in exp.matrix()}:
+        raise ValueError(f"no config is called {args.config}")
     if args.config:
         runs = runs.where(F.concat_ws("__", "chunking", "retrieval", "rerank") == args.config)
     per_query = cells.ir_cells(runs, queries, qrels, exp)
+    if args.config:
+        per_query = per_query.where(F.col("config_id") == args.config)
+    per_query = checkpointed(per_query)
     cache = files.read_or_empty(spark, f"{args.out}/cache", files.CACHE)
     generated, made = cells.answers(runs, queries, chunks, exp, FirstSentence(), cache)
-    marks = judging.judge(generated, FirstSentence())
+    generated = checkpointed(generated)
+    marks = checkpointed(judging.judge(generated, FirstSentence()).select("dataset", "config_id", "query_id", *judging.DIMS))
     files.write_cells(per_query, f"{args.out}/retrieval")
     files.write_cells(generated, f"{args.out}/generation")
+    files.write_cells(marks, f"{args.out}/ares_raw")
     files.append_cache(made, f"{args.out}/cache")
-    files.write_table(cells.summary(per_query, generated, marks), f"{args.out}/summary", "json")
+    files.write_summaries(cells.summary(per_query, generated, marks), args.out)
 
 
-def analyse(spark: SparkSession, args: argparse.Namespace) -> None:
-    for name, df in analysis.analyse(files.read_summaries(spark, args.results)).items():
+def analyse(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
+    exp = settings.load_settings(args.settings) if args.settings else settings.default_experiment()
+    scores = files.read_summaries(spark, args.results)
+    filled = scores.agg(*[F.count(f"`{c}`").alias(c) for c in analysis.FRAMEWORKS]).first()
+    scores = scores.drop(*[c for c in analysis.FRAMEWORKS if not filled[c]])
+    marks, labels = files.read_cells(spark, args.results, "ares_raw", files.MARKS), files.read_labels(spark, args.results)
+    factors = scores.select("dataset", "config_id", "chunking", "retrieval", "rerank")
+    per_query = files.read_cells(spark, args.results, "retrieval", files.METRICS).join(F.broadcast(factors), ["dataset", "config_id"])
+    pair = [x.name for x in exp.datasets] if len(exp.datasets) == 2 else ["msmarco", "nq"]
+    out = analysis.analyse(scores, marks, labels, None if per_query.isEmpty() else per_query, *pair, exp.bootstrap_iters, exp.seed, alpha=exp.alpha)
+    for name, df in out.items():
         files.write_table(df, f"{args.out}/{name}")
         df.show(50, False)
+    return out
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -60,6 +82,7 @@ def main(argv: list[str] | None = None) -> None:
     a = sub.add_parser("analyse")
     for x in ("--results", "--out"):
         a.add_argument(x, required=True)
+    a.add_argument("--settings")
     args = p.parse_args(argv)
     spark = SparkSession.builder.appName("evalweave").getOrCreate()
     run(spark, args) if args.what == "run" else analyse(spark, args)

@@ -5,6 +5,7 @@ All schemas are declared; nothing is inferred, so ids stay strings.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -16,6 +17,8 @@ QUERIES = "_id string, text string"
 QRELS = "`query-id` string, `corpus-id` string, score int"
 LABELS = "query_id string, context_relevance int, answer_faithfulness int, answer_relevance int"
 GENERATION = "query_id string, question string, answer string, contexts array<string>, latency_ms double, cost_eur double, cached boolean"
+MARKS = "query_id string, context_relevance int, answer_faithfulness int, answer_relevance int"
+METRICS = "query_id string, `nDCG@10` double"
 CACHE = "key string, answer string, tokens_in long, tokens_out long, latency_ms double"
 FACTORS = ["dataset", "config_id", "chunking", "retrieval", "rerank"]
 SCORES = ["ir_P@1", "ir_P@3", "ir_P@5", "ir_P@10", "ir_MRR", "ir_nDCG@10", "ragas_faithfulness", "ragas_answer_relevancy", "ragas_context_relevancy", "ares_composite", "mean_latency_ms", "cost_eur_per_1k", "ares_ci_lo", "ares_ci_hi"]
@@ -63,9 +66,41 @@ def read_or_empty(spark: SparkSession, path: str, schema: str, kind: str = "parq
         return spark.createDataFrame([], schema)
 
 
+def read_cells(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Rows of all cells with dataset and config_id: what ``write_cells`` left in <root>/<name>, and files <root>/<dataset>/<config>/<name>.jsonl of cells that it lacks."""
+    cols = ["dataset", "config_id"]
+    own = read_or_empty(spark, f"{root}/{name}", f"{schema}, dataset string, config_id string")
+    try:
+        single = read_jsonl(spark, f"{root}/*/*/{name}.jsonl", schema)
+    except AnalysisException:
+        return own
+    part = lambda i: F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)/[^/]+$", i)
+    single = single.select("*", part(1).alias("dataset"), part(2).alias("config_id"))
+    return own.unionByName(single.join(own.select(*cols).distinct(), cols, "left_anti"))
+
+
+def read_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Human labels of <root>/human_labels/<dataset>.csv; empty where there are none."""
+    try:
+        got = spark.read.schema(LABELS).csv(f"{root}/human_labels/*.csv", header=True, enforceSchema=False)
+    except AnalysisException:
+        return spark.createDataFrame([], f"dataset string, {LABELS}")
+    return got.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1).alias("dataset"), "*")
+
+
+def write_summaries(df: DataFrame, root: str) -> None:
+    """One <root>/<dataset>/<config>/summary.json per row, as ``read_summaries`` reads them; cells are few."""
+    spark = df.sparkSession
+    for r in df.collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r.dataset}/{r.config_id}/summary.json")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(json.dumps(r.asDict(), indent=2).encode()))
+        out.close()
+
+
 def write_cells(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Rows of many cells, one folder per data set and config."""
-    df.write.mode("overwrite").partitionBy("dataset", "config_id").format(kind).save(path)
+    """Rows of many cells, one folder per data set and config; cells that the rows lack stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "config_id").format(kind).save(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:

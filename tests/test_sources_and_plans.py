@@ -1,9 +1,10 @@
+import argparse
 import json
 
 import pytest
 
 from evalweave.operators.providers import FirstSentence
-from evalweave.plans import cells
+from evalweave.plans import cells, cli
 from evalweave.sources import files, settings
 
 
@@ -70,3 +71,38 @@ def test_semantic_cells_follow_similarity(make):
     exp.chunking[1].params["sise"] = 3
     with pytest.raises(ValueError, match="sise"):
         cells.make_chunks(docs, exp)
+
+
+def test_run_is_analysed(spark, make, tmp_path):
+    t = "2024-01-01 00:00:00"
+    both = [(d, i) for d in ("msmarco", "nq") for i in range(6)]
+    tables = {
+        "corpus": make("load_id long, dataset string, doc_id string, title string, text string, loaded_at string, deleted_at string", *[(i, d, f"d{i}", "", f"Word{i} stands here. The cat number {i} sleeps.", t, None) for d, i in both]),
+        "queries": make("dataset string, query_id string, text string, batch_no int, added_at string", *[(d, f"q{i}", f"word{i} cat", 1, t) for d, i in both]),
+        "qrels": make("qrel_id long, dataset string, query_id string, doc_id string, rel int, judged_at string", *[(i, d, f"q{i}", f"d{i}", 1, t) for d, i in both]),
+    }
+    for k, v in tables.items():
+        v.write.parquet(f"{tmp_path}/in/{k}.parquet")
+    args = dict(tables=f"{tmp_path}/in", out=f"{tmp_path}/r", settings=None, dataset=None, limit=None)
+    cli.run(spark, argparse.Namespace(**args, config="fixed__bm25__none"))
+    cli.run(spark, argparse.Namespace(**args, config="semantic__bm25__none"))
+    assert {r.config_id for r in files.read_summaries(spark, f"{tmp_path}/r").collect()} == {"fixed__bm25__none", "semantic__bm25__none"}
+    (tmp_path / "r/human_labels").mkdir()
+    for d in ("msmarco", "nq"):
+        (tmp_path / f"r/human_labels/{d}.csv").write_text("query_id,context_relevance,answer_faithfulness,answer_relevance\nq0,1,1,0\nq1,1,1,1\n")
+    # a third cell in the reference's layout
+    cell = tmp_path / "r/nq/fixed__dense__none"
+    cell.mkdir(parents=True)
+    (cell / "summary.json").write_text(json.dumps({"dataset": "nq", "config_id": "fixed__dense__none", "chunking": "fixed", "retrieval": "dense", "rerank": "none", "ir_nDCG@10": 0.5, "ares_composite": 0.25}))
+    (cell / "retrieval.jsonl").write_text('{"query_id": "q0", "nDCG@10": 0.5}\n')
+    exp = tmp_path / "s.json"
+    exp.write_text(json.dumps({"chunking": [{"name": "fixed"}], "retrieval": [{"name": "bm25"}], "rerank": [{"name": "none"}], "stats": {"bootstrap_iters": 20, "alpha": 0.2}}))
+    out = cli.analyse(spark, argparse.Namespace(results=f"{tmp_path}/r", out=f"{tmp_path}/a", settings=str(exp)))
+    tidy = {(r.dataset, r.config_id): r for r in out["tidy_config_scores"].collect()}
+    assert len(tidy) == 5 and tidy["nq", "fixed__dense__none"].ares_composite == 0.25
+    # the offline judge marks 0 throughout, so the point is the mean label: (1 + 1 + 1/2) / 3
+    r = tidy["nq", "fixed__bm25__none"]
+    assert abs(r.ares_composite - 2.5 / 3) < 1e-9 and abs(r.ares_composite - r.ares_ci_lo - 1.2815515655446004 * 0.5 / 3) < 1e-9
+    got = {(r.dataset, r.variable): r for r in out["variable_attribution"].collect()}
+    assert got["nq", "chunking"].n == 6 and got["nq", "retrieval"].n == 1 and ("msmarco", "chunking") in got
+    assert "ragas_faithfulness" not in out["tidy_config_scores"].columns and out["framework_agreement"].count() == 2
