@@ -194,7 +194,9 @@ def find_leaks(
     """(doc id, item_id, share): every document that holds a fitting share of an item.
 
     ``theta`` is the BM25 threshold per item kind as a part of the item's
-    self-score, ``least`` the verified share of its words.
+    self-score, ``least`` the verified share of its words.  Windows hold any
+    fifth of an item: for items of over 2.5 windows, wider ones are searched
+    besides, doubled until they fit the longest.
     """
     theta = theta or {"passage": 0.20, "question": 0.40}
     least = least or {"passage": 0.4, "question": 0.88}
@@ -213,6 +215,9 @@ def find_leaks(
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             ix = received(index)
             low = min(theta.values())
+            longest, wide = max(map(len, ix.tokens), default=0), [(window, 0)]
+            while longest > 2.5 * wide[-1][0]:
+                wide.append((2 * wide[-1][0], 2.5 * wide[-1][0]))
             for pdf in batches:
                 found = []
                 for did, text in zip(pdf["id"], pdf["text"]):
@@ -220,17 +225,19 @@ def find_leaks(
                     if not toks or not ix.ids:
                         continue
                     known = [ix.vocab.get(w, -1) for w in toks]
-                    step = window // 2
                     cand = set()
-                    for lo in range(0, max(1, len(toks) - step), step):
-                        terms = list({t for t in known[lo : lo + window] if t >= 0})
-                        if terms:
-                            cand.update(x for x, v in ix.search(terms, low) if v >= theta.get(ix.kinds[x], low))
+                    for size, over in wide:
+                        step = size // 2
+                        for lo in range(0, max(1, len(toks) - step), step):
+                            terms = list({t for t in known[lo : lo + size] if t >= 0})
+                            if terms:
+                                cand.update(x for x, v in ix.search(terms, low) if v >= theta.get(ix.kinds[x], low) and len(ix.tokens[x]) > over)
                     if not cand:
                         continue
                     pairs = set(zip(toks, toks[1:]))
                     for x in cand:
-                        if len(pairs & ix.bigrams[x]) < 0.5 * least.get(ix.kinds[x], 0.4) * len(ix.bigrams[x]):
+                        # covered() takes stretches of 0.65 equal words: if each of the others stands alone, 0.3 of the bigrams are left, less one per stretch
+                        if len(pairs & ix.bigrams[x]) < max(1.0, 0.3 * least.get(ix.kinds[x], 0.4) * len(ix.bigrams[x]) - 2):
                             continue
                         c = covered(ix.tokens[x], toks)
                         if c >= least.get(ix.kinds[x], 0.4):

@@ -58,3 +58,14 @@ def test_very_long_text(make):
     long = " ".join(RNG.choices([f"z{i}" for i in range(500)], k=60_000))
     d = make("doc_id long, text string", (1, long + " " + ITEMS[0][2]))
     assert L.find_leaks(d, make("item_id long, item_kind string, text string", *ITEMS)).first().item_id == 0
+
+
+def test_long_items_and_altered_passages(make):
+    item = [f"v{i}" for i in range(1200)]
+    short = [f"s{i}" for i in range(100)]
+    rest = [f"z{i}" for i in range(300)]
+    altered = [x if i % 3 else f"y{i}" for i, x in enumerate(short[:43])]
+    docs = [(1, " ".join(rest + item + rest)), (2, " ".join(rest + item[300:800] + rest)), (3, " ".join(item[:200] + rest)), (4, " ".join(rest + altered + rest)), (5, " ".join(rest))]
+    it = make("item_id long, item_kind string, text string", (1, "passage", " ".join(item)), (2, "passage", " ".join(short)))
+    got = {(r.doc_id, r.item_id) for r in L.find_leaks(make("doc_id long, text string", *docs), it).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2)}
