@@ -287,9 +287,11 @@ def marks(spark, d):
     return g.select("dataset", "config_id", "query_id", yes(F.size("contexts") > 0).alias("context_relevance"), yes(F.length("answer") > 20).alias("answer_faithfulness"), yes(F.col("tokens_out") > 8).alias("answer_relevance"))
 
 
-def labels(spark, d):
-    """Deterministic stand-in labels of every fifth query."""
-    q = asked(spark, d).where(F.regexp_extract("query_id", r"(\d+)$", 1).cast("long") % 5 == 0)
+def labels(spark, d, every=5):
+    """Deterministic stand-in labels of every fifth query, or of all with ``every=None``."""
+    q = asked(spark, d)
+    if every:
+        q = q.where(F.regexp_extract("query_id", r"(\d+)$", 1).cast("long") % every == 0)
     bit = lambda i: (F.conv(F.substring(F.md5("query_id"), i, 1), 16, 10).cast("int") % 2)
     return q.select("dataset", "query_id", *[bit(i + 1).alias(x) for i, x in enumerate(judging.DIMS)])
 
@@ -358,6 +360,12 @@ def bootstrap_spearman_md5(spark, d):
     return _rounded(report(spark, d), ["spearman_rho", "ci_lo", "ci_hi"])
 
 
+@query
+def bootstrap_spearman_md5_full(spark, d):
+    """As bootstrap_spearman_md5, with the 10,000 draws of the experiment."""
+    return _rounded(report(spark, d, settings.default_experiment().bootstrap_iters), ["spearman_rho", "ci_lo", "ci_hi"])
+
+
 @query
 def bootstrap_spearman_seeded(spark, d):
     long = agreement.pairs_long(scores(spark, d).withColumn("config_ord", F.col("config_id")), FRAMEWORKS, ["dataset", "config_ord"])
@@ -369,6 +377,12 @@ def agreement_pattern_shift(spark, d):
     return _rounded(agreement.pattern_shift(report(spark, d), "msmarco", "nq"), ["rho_msmarco", "rho_nq", "delta"])
 
 
+@query
+def agreement_pattern_shift_full(spark, d):
+    """As agreement_pattern_shift, with the 10,000 draws of the experiment."""
+    return _rounded(agreement.pattern_shift(report(spark, d, settings.default_experiment().bootstrap_iters), "msmarco", "nq"), ["rho_msmarco", "rho_nq", "delta"])
+
+
 @query
 def cross_dataset_stability(spark, d):
     x = agreement.across_datasets(scores(spark, d), FRAMEWORKS, "msmarco", "nq")
@@ -433,8 +447,8 @@ def annotation_sheet(spark, d):
     return s.withColumn("contexts_shown", F.md5("contexts_shown"))
 
 
-def _stores(spark, d):
-    q = labels(spark, d)
+def _stores(spark, d, every=5):
+    q = labels(spark, d, every)
     old = q.withColumn("seq", F.lit(1).cast("bigint"))
     new = q.where(F.col("context_relevance") == 1).withColumn("answer_relevance", 1 - F.col("answer_relevance")).withColumn("seq", F.lit(2).cast("bigint"))
     return old, new
@@ -445,6 +459,12 @@ def label_upsert(spark, d):
     return sampling.upsert_labels(*_stores(spark, d)).select("dataset", "query_id", *judging.DIMS, "seq")
 
 
+@query
+def label_upsert_all(spark, d):
+    """As label_upsert, over entries of all queries."""
+    return sampling.upsert_labels(*_stores(spark, d, None)).select("dataset", "query_id", *judging.DIMS, "seq")
+
+
 @query
 def labels_remaining(spark, d):
     return sampling.remaining(sheet(spark, d), labels(spark, d)).select("dataset", "query_id")

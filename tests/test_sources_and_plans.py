@@ -4,7 +4,7 @@ import json
 import pytest
 
 from evalweave.operators.providers import FirstSentence
-from evalweave.plans import cells, cli
+from evalweave.plans import catalogue, cells, cli
 from evalweave.sources import files, settings
 
 
@@ -106,3 +106,14 @@ def test_run_is_analysed(spark, make, tmp_path):
     got = {(r.dataset, r.variable): r for r in out["variable_attribution"].collect()}
     assert got["nq", "chunking"].n == 6 and got["nq", "retrieval"].n == 1 and ("msmarco", "chunking") in got
     assert "ragas_faithfulness" not in out["tidy_config_scores"].columns and out["framework_agreement"].count() == 2
+
+
+def test_full_queries_take_all_draws_and_entries(spark, make, tmp_path):
+    scores = [(d, f"c{i}", float(i), float((i * i) % 7), float((3 * i) % 5)) for d in ("msmarco", "nq") for i in range(6)]
+    make("dataset string, config_id string, `ir_nDCG@10` double, ragas_faithfulness double, ares_composite double", *scores).write.parquet(f"{tmp_path}/summary.parquet")
+    q = catalogue.queries()
+    # a few draws are all of one config and have no rank correlation
+    assert min(r.n_boot for r in q["bootstrap_spearman_md5_full"](spark, str(tmp_path)).collect()) > 9_900
+    assert q["agreement_pattern_shift_full"](spark, str(tmp_path)).count() == 3
+    make("dataset string, query_id string, text string, batch_no int, added_at string", *[("nq", f"q{i}", "why", 1, "2024-01-01") for i in range(11)]).write.parquet(f"{tmp_path}/queries.parquet")
+    assert {r.query_id for r in q["label_upsert_all"](spark, str(tmp_path)).collect()} == {f"q{i}" for i in range(11)}
