@@ -6,11 +6,12 @@ character n-gram classifier (naive Bayes over hashed n-grams, classes weighted
 equally) predicts each bit; a text is decoded to the codeword with the least
 logistic loss over the bit margins, so that confident bits weigh more.  The
 softmax over the negated losses is the confidence; a small lead over the second
-codeword marks the segment ambiguous.
+codeword marks a sentence ambiguous: it then takes the language around it.
 
 The bits are fitted on a bounded hash sample of labelled sentences
 (``train_docs_per_label`` documents per label).  Labels are noisy, so the fit
-repeats: predict the sample, keep what the model says, fit again.
+repeats: predict the sample, keep what the model says (by document, at last by
+sentence), fit again.
 
 Defined results for odd input: null, blank and letterless texts yield no
 segments and no findings; an unknown label counts as missing; texts are used
@@ -57,6 +58,7 @@ BITS = 15
 ORDERS = (1, 2, 3, 4)
 TABLE = 1 << 17
 SCALE = 0.25
+UNSURE = 0.6  # confidence below which the second codeword is close
 TAG = re.compile(r"<[^<>]{0,200}>")
 URL = re.compile(r"\b(?:https?://|www\.)\S+|\b\w+(?:\.\w+)*\.example\S*")
 SENT = re.compile(r"(?<=[.!?…])[\"'”’»)\]*_]*\s+|\n+|(?<=[;])\s+")
@@ -144,30 +146,39 @@ class EcocModel:
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
         conf = p[np.arange(len(p)), best]
-        return best, conf, conf < 0.6
+        return best, conf, conf < UNSURE
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, alpha: float = 0.5) -> EcocModel:
-    """Fit the bit classifiers on labelled sentences, relabelling them between the rounds."""
+def fit(texts: list[str], labels: np.ndarray, groups: np.ndarray | None = None, rounds: int = 3, alpha: float = 0.5) -> EcocModel:
+    """Fit the bit classifiers on labelled sentences, relabelling them between the rounds.
+
+    ``groups`` names the document of each sentence (by default each is its own).
+    Between the rounds whole documents are relabelled, by the most words: a
+    stock sentence that stands in many documents then stays with its documents,
+    where single sentences alike could turn together.  Only before the last fit
+    is every sentence relabelled by itself, for documents in several languages.
+    """
     code = codebook()
     seeds = [SEED_WORDS[x] for x in LANGS]
     seed_of = np.arange(len(LANGS))
     texts = list(texts)
     labels = np.asarray(labels, int)
-    grams = []  # per group: hashes of each order, owner of each place
-    for group in (texts, seeds):
-        codes, starts = _codes(group)
-        owner = np.repeat(np.arange(len(group), dtype=np.int32), np.diff(np.append(starts, len(codes))))
+    groups = np.arange(len(texts)) if groups is None else np.unique(np.asarray(groups), return_inverse=True)[1]
+    n_words = np.array([len(t.split()) for t in texts], float)
+    grams = []  # per part: hashes of each order, owner of each place
+    for part in (texts, seeds):
+        codes, starts = _codes(part)
+        owner = np.repeat(np.arange(len(part), dtype=np.int32), np.diff(np.append(starts, len(codes))))
         grams.append(([_grams(codes, n).astype(np.int32) for n in ORDERS], owner))
 
-    def tally(group: int, label: np.ndarray) -> np.ndarray:
-        hashes, owner = grams[group]
+    def tally(part: int, label: np.ndarray) -> np.ndarray:
+        hashes, owner = grams[part]
         row = label[owner].astype(np.int64) * TABLE
         return sum(np.bincount(row + h, minlength=len(LANGS) * TABLE) for h in hashes).reshape(len(LANGS), TABLE).astype(np.float64)
 
     model = EcocModel(np.zeros((TABLE, BITS), np.float32))
     fixed = 2.0 * tally(1, seed_of)
-    for r in range(rounds):
+    for r in range(rounds + 1):
         counts = fixed + (tally(0, labels) if len(texts) else 0.0)
         probs = (counts + alpha * 0.02) / (counts.sum(1, keepdims=True) + alpha * 0.02 * TABLE)
         w = np.zeros((TABLE, BITS), np.float32)
@@ -175,18 +186,30 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, alpha: float = 0.
             w[:, b] = np.log(probs[code[:, b] > 0].mean(0)) - np.log(probs[code[:, b] < 0].mean(0))
         w[counts.sum(0) == 0] = 0.0
         model = EcocModel(w)
-        if r + 1 < rounds and len(texts):
-            labels = model.decode(texts)[0]
+        if r == rounds or not len(texts):
+            break
+        labels = model.decode(texts)[0]
+        if r + 1 < rounds:
+            votes = np.bincount(groups * len(LANGS) + labels, n_words, (groups.max() + 1) * len(LANGS)).reshape(-1, len(LANGS))
+            labels = votes.argmax(1)[groups]
     return model
 
 
 MIN_WORDS = 4  # shorter sentences take the language of their neighbour
+SURE = 0.9  # confidence at which short lines in a row are a stretch of their own
 
 SEGMENTS = "array<struct<lang:string,confidence:double,ambiguous:boolean,n_words:int,text:string>>"
 
 
 def segment_texts(texts: list[str | None], model: EcocModel, min_words: int = MIN_WORDS) -> list[list[dict]]:
-    """Single-language stretches of each text, in order."""
+    """Single-language stretches of each text, in order.
+
+    Short and ambiguous sentences do not open a stretch by themselves.  Such
+    lines in a row (lists, tables, headings) are decoded together: they are a
+    stretch if they are sure of their language, else they belong to what stands
+    before them, or after them at the start.  A stretch is ambiguous if its
+    mean confidence is low.
+    """
     flat, owner, words = [], [], []
     for k, t in enumerate(texts):
         for n, s in sentences(t or ""):
@@ -194,26 +217,36 @@ def segment_texts(texts: list[str | None], model: EcocModel, min_words: int = MI
             owner.append(k)
             words.append(n)
     best, conf, amb = model.decode(flat)
-    out: list[list[dict]] = [[] for _ in texts]
-    firm = [n >= min_words for n in words]
+    units: list[list] = []  # text number, first and past last sentence, language, confidence, decides
     for i, k in enumerate(owner):
-        segs = out[k]
-        lang = LANGS[best[i]]
-        if segs and (not firm[i] or segs[-1]["lang"] == lang or not segs[-1]["firm"]):
+        firm = words[i] >= min_words and not amb[i]
+        if not firm and units and units[-1][0] == k and not units[-1][5]:
+            units[-1][2] = i + 1
+        else:
+            units.append([k, i, i + 1, best[i], conf[i], firm])
+    runs = [u for u in units if not u[5] and u[2] - u[1] > 1]
+    if runs:
+        b, c, _ = model.decode([" ".join(flat[u[1] : u[2]]) for u in runs])
+        for u, x, y in zip(runs, b, c):
+            u[3], u[4], u[5] = x, y, y >= SURE and sum(words[u[1] : u[2]]) >= 2 * min_words
+    out: list[list[dict]] = [[] for _ in texts]
+    for k, lo, hi, x, y, firm in units:
+        segs, lang, n, text = out[k], LANGS[x], sum(words[lo:hi]), " ".join(flat[lo:hi])
+        if segs and (not firm or segs[-1]["lang"] == lang or not segs[-1]["firm"]):
             last = segs[-1]
-            if not last["firm"] and firm[i]:
-                last |= {"lang": lang, "confidence": 0.0, "weight": 0, "ambiguous": False, "firm": True}
-            if firm[i] or not last["firm"]:
-                last["confidence"] += conf[i] * words[i]
-                last["weight"] += words[i]
-                last["ambiguous"] |= bool(amb[i])
-            last["n_words"] += words[i]
-            last["text"] += " " + flat[i]
+            if firm and not last["firm"]:
+                last |= {"lang": lang, "confidence": 0.0, "weight": 0, "firm": True}
+            if firm:
+                last["confidence"] += y * n
+                last["weight"] += n
+            last["n_words"] += n
+            last["text"] += " " + text
         else:
-            segs.append({"lang": lang, "confidence": conf[i] * words[i], "weight": words[i], "ambiguous": bool(amb[i]), "n_words": words[i], "text": flat[i], "firm": firm[i]})
+            segs.append({"lang": lang, "confidence": y * n, "weight": n, "n_words": n, "text": text, "firm": firm})
     for segs in out:
         for s in segs:
             s["confidence"] = float(s["confidence"] / max(1, s.pop("weight")))
+            s["ambiguous"] = s["confidence"] < UNSURE
             s.pop("firm")
     return out
 
@@ -229,15 +262,15 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", label_col: str =
     if not n:
         return fit([], np.zeros(0, int))
     rate = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, train_docs_per_label / v)))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate[F.col("label")] * 1_000_000)
+    sample = rows.withColumn("doc", F.xxhash64("text")).where(F.pmod("doc", F.lit(1_000_000)) < rate[F.col("label")] * 1_000_000)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            part = [(s[i : i + 400], lab) for t, lab in zip(pdf["text"], pdf["label"]) for _, s in sentences(t or "")[:sentences_per_doc] for i in range(0, min(len(s), 2000), 400)]
-            yield pd.DataFrame(part, columns=["s", "label"])
+            part = [(s[i : i + 400], lab, doc) for t, lab, doc in zip(pdf["text"], pdf["label"], pdf["doc"]) for _, s in sentences(t or "")[:sentences_per_doc] for i in range(0, min(len(s), 2000), 400)]
+            yield pd.DataFrame(part, columns=["s", "label", "doc"])
 
-    got = sample.mapInPandas(cut, "s string, label string").toPandas().sort_values(["s", "label"], kind="stable")
-    return fit(got["s"].tolist(), np.array([LANGS.index(x) for x in got["label"]], int))
+    got = sample.mapInPandas(cut, "s string, label string, doc long").toPandas().sort_values(["doc", "s", "label"], kind="stable")
+    return fit(got["s"].tolist(), np.array([LANGS.index(x) for x in got["label"]], int), got["doc"].to_numpy())
 
 
 def document_languages(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -275,10 +308,14 @@ def document_languages(docs: DataFrame, model: EcocModel, id_col: str = "doc_id"
 
 
 def label_findings(docs: DataFrame, model: EcocModel | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """Rows (id, finding, lang): ``missing`` and ``wrong`` labels with the main language, ``mixed`` once per language of the text."""
+    """Rows (id, finding, lang): ``missing`` and ``wrong`` labels with the main language, ``mixed`` once per language of the text.
+
+    Ambiguous stretches make no text mixed.
+    """
     model = model or fit_language_model(docs, text_col, label_col)
     d = document_languages(docs.withColumn("_lab", label_column(F.col(label_col))), model, id_col, text_col, keep=("_lab",)).where("main_lang is not null")
-    langs = F.sort_array(F.array_distinct(F.transform("segments", lambda s: s["lang"])))
+    clear = F.transform(F.filter("segments", lambda s: ~s["ambiguous"]), lambda s: s["lang"])
+    langs = F.sort_array(F.array_distinct(F.concat(clear, F.array("main_lang"))))
     label = F.when(F.col("_lab").isNull(), F.lit("missing")).when(F.col("_lab") != F.col("main_lang"), F.lit("wrong"))
     found = F.concat(
         F.when(label.isNotNull(), F.array(F.struct(label.alias("finding"), F.col("main_lang").alias("lang")))).otherwise(F.array()),

@@ -64,3 +64,43 @@ def test_findings(make):
 
 def test_empty_table(make):
     assert L.label_findings(make("doc_id long, text string, lang string")).count() == 0
+
+
+STOCK = ["This entry was last revised by the editors.", "Readers should check opening hours before they travel.", "All figures were rounded to whole numbers."]
+
+
+def noisy_docs(rng, per_label, wrong, stock):
+    """(text, label, all languages): as many documents of each label, a part of them English all the same; stock sentences in many English documents; some texts mixed."""
+    out = []
+    for label in L.LANGS:
+        for _ in range(per_label):
+            x = "en" if rng.random() < wrong else label
+            parts = [text(x, rng.randint(1, 3), rng)] + ([rng.choice(STOCK)] if x == "en" and rng.random() < stock else [])
+            langs = {x}
+            if rng.random() < 0.1:
+                other = rng.choice([y for y in L.LANGS if y != x])
+                parts.append(text(other, 2, rng))
+                langs.add(other)
+            rng.shuffle(parts)
+            out.append((" ".join(parts), label, langs))
+    return out
+
+
+def test_stock_sentences_stay_with_their_documents():
+    held = noisy_docs(random.Random(99), 40, 0.3, 0.7)
+    for seed in range(20):  # one fit for each sample of documents
+        docs = noisy_docs(random.Random(seed), 30, 0.3, 0.7)
+        sents = [(s, L.LANGS.index(lab), k) for k, (t, lab, _) in enumerate(docs) for _, s in L.sentences(t)]
+        m = L.fit([s for s, _, _ in sents], np.array([x for _, x, _ in sents]), np.array([k for _, _, k in sents]))
+        got = L.segment_texts([t for t, _, _ in held], m)
+        found = [{s["lang"] for s in segs if not s["ambiguous"]} for segs in got]
+        right = sum(f == langs for f, (_, _, langs) in zip(found, held))
+        assert right >= 0.98 * len(held), (seed, right)
+
+
+def test_lists_of_short_lines(model):
+    rng = random.Random(5)
+    halves = [f"{a} {b}" for a, b in zip(["Der Bäcker", "Unser Nachbar", "Die alte Lehrerin", "Ein junger Arzt"] * 2, ["öffnet", "liest", "wenn", "streicht"] * 2)]
+    segs = L.segment_texts(["\n".join(halves), text("en", 3, rng) + "\n" + "\n".join(halves), "\n".join(["Ab", "Cd", "Ef"])], model)
+    assert [s["lang"] for s in segs[0]] == ["de"] and [s["lang"] for s in segs[1]] == ["en", "de"] and len(segs[2]) == 1
+    assert segs[0][0]["n_words"] == sum(len(x.split()) for x in halves)
