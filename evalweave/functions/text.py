@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,9 @@ def parent_of(chunk_id: Column) -> Column:
 def numbered(contexts: Column) -> Column:
     """'[1] first', blank line, '[2] second' ... ; empty for null and empty arrays."""
     return F.coalesce(F.array_join(F.transform(contexts, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(x, F.lit("")))), "\n\n"), F.lit(""))
+
+
+def fill(template: str, **slots: Column) -> Column:
+    """A prompt template with its ``{slots}`` filled by columns; null counts as empty, doubled braces are braces."""
+    parts = re.split(r"(?<!\{)\{(\w+)\}(?!\})", template)
+    return F.concat(*[F.coalesce(slots[x], F.lit("")) if i % 2 else F.lit(x.replace("{{", "{").replace("}}", "}")) for i, x in enumerate(parts)])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalweave.functions.stats import average_rank, pearson, two_sided_p
+from evalweave.functions.stats import average_rank, pearson, running_before, two_sided_p
 
 
 def pairs_long(scores: DataFrame, cols: list[str], by: list[str], all_pairs: bool = False) -> DataFrame:
@@ -135,8 +135,7 @@ def wilcoxon(paired: DataFrame, by: list[str], digits: int | None = None) -> Dat
     totals = rows.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(close).alias("_close"))
     # equal differences are counted first; ranks then follow from running counts of few rows
     v = rows.where("_d != 0").groupBy(*by, F.abs("_d").alias("_v")).agg(F.count("*").alias("_t"), F.count(F.when(F.col("_d") > 0, 1)).alias("_pos"))
-    before = F.sum("_t").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")
-    r = v.withColumn("_rank", before + (F.col("_t") + 1) / 2.0)
+    r = running_before(v, by, "_v", "_t").withColumn("_rank", F.col("_before") + (F.col("_t") + 1) / 2.0)
     s = r.groupBy(*by).agg(F.sum(F.col("_rank") * F.col("_pos")).alias("_plus"), F.sum(F.col("_rank") * F.col("_t")).alias("_all"), F.sum("_t").cast("double").alias("_m"), F.sum(F.pow(F.col("_t").cast("double"), 3) - F.col("_t")).alias("_ties"))
     w = F.least(F.col("_plus"), F.col("_all") - F.col("_plus"))
     se = F.sqrt((F.col("_m") * (F.col("_m") + 1) * (2 * F.col("_m") + 1) - F.col("_ties") / 2) / 24)

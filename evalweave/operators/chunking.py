@@ -22,6 +22,11 @@ def _explode(docs: DataFrame, texts: Column, doc_col: str, keep: list[str]) -> D
     return out.select(*keep, F.concat("doc_id", F.lit("::c"), F.col("chunk_ix").cast("string")).alias("chunk_id"), "doc_id", "chunk_ix", "text")
 
 
+def _sliced(sentences: str, bounds: str) -> Column:
+    """Texts of the sentences between each two neighbouring bounds."""
+    return F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), lambda a, i: F.array_join(F.slice(sentences, a + 1, F.element_at(bounds, i + 2) - a), " "))
+
+
 def chunk_sliding(docs: DataFrame, size: int = 256, overlap: int = 64, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Windows of ``size`` tokens, each ``size - overlap`` after the last, until one reaches the end."""
     step = max(1, size - overlap)
@@ -51,40 +56,45 @@ def chunk_packed(docs: DataFrame, max_tokens: int = 384, doc_col: str = "doc_id"
 
     # a fold over the sentence lengths finds where chunks start; texts are then sliced and joined once, without a shuffle
     cut = sizes.withColumn("_b", F.aggregate("_n", zero, step, lambda a: F.concat(a["starts"], F.array(a["i"]))))
-    texts = F.transform(F.slice("_b", F.lit(1), F.size("_b") - 1), lambda a, i: F.array_join(F.slice("_s", a + 1, F.element_at("_b", i + 2) - a), " "))
-    return _explode(cut, texts, doc_col, keep or [])
+    return _explode(cut, _sliced("_s", "_b"), doc_col, keep or [])
+
+
+def similarity_starts(vecs: np.ndarray, sizes: np.ndarray, max_tokens: int, threshold: float) -> list[int]:
+    """Places of the sentences that begin a chunk.
+
+    A chunk ends before the first sentence that would exceed ``max_tokens`` or
+    whose cosine to the sum of the chunk's unit vectors is under ``threshold``.
+    """
+    upto = np.cumsum(sizes)
+    starts = [0]
+    while True:
+        first = starts[-1]
+        room = upto[first] - sizes[first] + max_tokens
+        stop = max(first + 1, int(np.searchsorted(upto, room, side="right")))
+        sums, rest = np.cumsum(vecs[first : stop - 1], axis=0), vecs[first + 1 : stop]
+        apart = np.flatnonzero((sums * rest).sum(1) < threshold * (np.linalg.norm(sums, axis=1) + 1e-9))
+        stop = first + 1 + int(apart[0]) if len(apart) else stop
+        if stop >= len(vecs):
+            return starts
+        starts.append(stop)
 
 
 def chunk_semantic(docs: DataFrame, embedder: Embedder, max_tokens: int = 384, threshold: float = 0.55, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Sentences joined while they resemble the chunk's summed vector and fit; the state is sequential, so per document in Python."""
-    keep = keep or []
-    src = docs.select(*keep, F.col(doc_col).alias("doc_id"), T.sentences(F.col(text_col)).alias("_s")).where(F.size("_s") > 0)
-    types = dict(src.dtypes)
+    """Sentences joined while they resemble the chunk and fit.  Python finds only where chunks start; the JVM slices and joins the texts."""
+    sents = docs.select(*(keep or []), F.col(doc_col), T.sentences(F.col(text_col)).alias("_s")).where(F.size("_s") > 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def cuts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = embedder.load()
-        for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                sents = list(rec[-1])
-                vecs = np.asarray(embed(sents), np.float64)
-                vecs = vecs / (np.linalg.norm(vecs, axis=1, keepdims=True) + 1e-9)
-                cur: list[str] = []
-                total, n, ix = None, 0, 0
-                for s, v in zip(sents, vecs):
-                    size = len(s.split())
-                    if cur and (n + size > max_tokens or float(total @ v) / (np.linalg.norm(total) + 1e-9) < threshold):
-                        rows.append((*rec[:-1], ix, " ".join(cur)))
-                        cur, total, n, ix = [], None, 0, ix + 1
-                    cur.append(s)
-                    total = v if total is None else total + v
-                    n += size
-                rows.append((*rec[:-1], ix, " ".join(cur)))
-            yield pd.DataFrame(rows, columns=[*keep, "doc_id", "chunk_ix", "text"])
-
-    schema = "".join(f"{k} {types[k]}, " for k in keep) + f"doc_id {types['doc_id']}, chunk_ix int, text string"
-    out = src.mapInPandas(run, schema)
-    return out.select(*keep, F.concat("doc_id", F.lit("::c"), F.col("chunk_ix").cast("string")).alias("chunk_id"), "doc_id", "chunk_ix", "text")
+        for batch in batches:
+            flat = [x for s in batch for x in s]
+            vecs = np.asarray(embed(flat), np.float64)
+            vecs = vecs / (np.linalg.norm(vecs, axis=1, keepdims=True) + 1e-9)
+            sizes = np.array([len(x.split()) for x in flat])
+            ends = np.cumsum([len(s) for s in batch])
+            yield pd.Series([[*similarity_starts(vecs[z - len(s) : z], sizes[z - len(s) : z], max_tokens, threshold), len(s)] for s, z in zip(batch, ends)])
+
+    return _explode(sents.withColumn("_b", cuts("_s")), _sliced("_s", "_b"), doc_col, keep or [])
 
 
 CHUNKERS = {"fixed": chunk_fixed, "sliding": chunk_sliding, "semantic": chunk_semantic}

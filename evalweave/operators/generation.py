@@ -13,11 +13,14 @@ from evalweave.operators.providers import Writer
 
 # Prices per million tokens, the rate, and the prompt.
 USD_IN_PER_M, USD_OUT_PER_M, USD_TO_EUR = 0.15, 0.60, 0.92
-PROMPT = (
-    'Answer the question using ONLY the provided context passages. If the context does not contain the answer, say "I cannot answer from the given context."\n\nContext:\n',
-    "\n\nQuestion: ",
-    "\n\nAnswer:",
-)
+PROMPT = """Answer the question using ONLY the provided context passages. If the context does not contain the answer, say "I cannot answer from the given context."
+
+Context:
+{context}
+
+Question: {question}
+
+Answer:"""
 
 
 def contexts(run: DataFrame, chunks: DataFrame, by: list[str], n: int = 5, chunk_keys: list[str] | None = None) -> DataFrame:
@@ -29,12 +32,12 @@ def contexts(run: DataFrame, chunks: DataFrame, by: list[str], n: int = 5, chunk
 
 
 def prompt(question: Column, contexts: Column) -> Column:
-    return F.concat(F.lit(PROMPT[0]), T.numbered(contexts), F.lit(PROMPT[1]), F.coalesce(question, F.lit("")), F.lit(PROMPT[2]))
+    return T.fill(PROMPT, context=T.numbered(contexts), question=question)
 
 
 def cache_key(model: str, temperature: float, question: Column, contexts: Column) -> Column:
     """Content key of a call."""
-    return F.sha2(F.to_json(F.struct(contexts.alias("c"), F.lit(model).alias("m"), question.alias("q"), F.lit(temperature).alias("t"))), 256)
+    return F.sha2(F.to_json(F.struct(contexts.alias("c"), F.lit(model).alias("m"), question.alias("q"), F.lit(temperature).alias("t")), {"ignoreNullFields": "false"}), 256)
 
 
 def cost_eur(tokens_in: Column, tokens_out: Column) -> Column:

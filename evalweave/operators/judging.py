@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalweave.functions import text as T
 from evalweave.functions.stats import normal_quantile
 from evalweave.operators.providers import Writer
 
@@ -31,12 +32,7 @@ Respond with ONLY a JSON object: {{"context_relevance": 0 or 1,
 
 
 def judge_prompt(question: Column, contexts: Column, answer: Column) -> Column:
-    parts = PROMPT.replace("{{", "{").replace("}}", "}")
-    a, rest = parts.split("{question}")
-    b, rest = rest.split("{context}")
-    c, d = rest.split("{answer}")
-    blank = F.lit("")
-    return F.concat(F.lit(a), F.coalesce(question, blank), F.lit(b), F.coalesce(F.array_join(contexts, "\n"), blank), F.lit(c), F.coalesce(answer, blank), F.lit(d))
+    return T.fill(PROMPT, question=question, context=F.array_join(contexts, "\n"), answer=answer)
 
 
 def parse_reply(reply: Column) -> dict[str, Column]:

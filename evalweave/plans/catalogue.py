@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalweave.functions import text as T
+from evalweave.functions.stats import exact_percentiles
 from evalweave.operators import agreement, chunking, generation, ir, judging, references, retrieval, sampling, tables
 from evalweave.operators.providers import HashedWords, WordOverlap
 from evalweave.plans import cells, oracles
@@ -275,11 +276,17 @@ def gen_cost_latency(spark, d):
 @query
 def llm_cache_misses(spark, d):
     """Distinct calls of the answers that were not cached and have no cached twin."""
-    g = last_answers(spark, d).withColumn("key", F.sha2(F.concat_ws("|", F.coalesce("question", F.lit("")), T.numbered(F.col("contexts"))), 256))
+    g = last_answers(spark, d).withColumn("key", generation.cache_key("offline", 0.0, F.col("question"), F.col("contexts")))
     known = g.where("cached").select("key").distinct()
     return g.where("not cached").select("key").distinct().join(known, "key", "left_anti")
 
 
+@query
+def judge_prompts(spark, d):
+    g = last_answers(spark, d)
+    return g.select("dataset", "config_id", "query_id", F.md5(judging.judge_prompt(F.col("question"), F.col("contexts"), F.col("answer"))).alias("prompt_md5"))
+
+
 def marks(spark, d):
     """Deterministic stand-in marks of the answers."""
     g = last_answers(spark, d)
@@ -349,10 +356,10 @@ def spearman_matrix(spark, d):
     return _rounded(agreement.spearman_matrix(scores(spark, d), FRAMEWORKS), ["spearman_rho"])
 
 
-def report(spark, d, n_boot=500):
+def report(spark, d):
     by = ["dataset", "framework_a", "framework_b"]
     long = agreement.pairs_long(scores(spark, d), FRAMEWORKS, ["dataset"])
-    return agreement.spearman(long, by).drop("n").join(agreement.bootstrap_hashed(long, by, n_boot), by, "left")
+    return agreement.spearman(long, by).drop("n").join(agreement.bootstrap_hashed(long, by, settings.default_experiment().bootstrap_iters), by, "left")
 
 
 @query
@@ -360,12 +367,6 @@ def bootstrap_spearman_md5(spark, d):
     return _rounded(report(spark, d), ["spearman_rho", "ci_lo", "ci_hi"])
 
 
-@query
-def bootstrap_spearman_md5_full(spark, d):
-    """As bootstrap_spearman_md5, with the 10,000 draws of the experiment."""
-    return _rounded(report(spark, d, settings.default_experiment().bootstrap_iters), ["spearman_rho", "ci_lo", "ci_hi"])
-
-
 @query
 def bootstrap_spearman_seeded(spark, d):
     long = agreement.pairs_long(scores(spark, d).withColumn("config_ord", F.col("config_id")), FRAMEWORKS, ["dataset", "config_ord"])
@@ -377,12 +378,6 @@ def agreement_pattern_shift(spark, d):
     return _rounded(agreement.pattern_shift(report(spark, d), "msmarco", "nq"), ["rho_msmarco", "rho_nq", "delta"])
 
 
-@query
-def agreement_pattern_shift_full(spark, d):
-    """As agreement_pattern_shift, with the 10,000 draws of the experiment."""
-    return _rounded(agreement.pattern_shift(report(spark, d, settings.default_experiment().bootstrap_iters), "msmarco", "nq"), ["rho_msmarco", "rho_nq", "delta"])
-
-
 @query
 def cross_dataset_stability(spark, d):
     x = agreement.across_datasets(scores(spark, d), FRAMEWORKS, "msmarco", "nq")
@@ -409,7 +404,8 @@ def wilcoxon_w(spark, d):
 
 @query
 def variable_attribution(spark, d):
-    return agreement.variable_attribution(factor_scores(spark, d), ["chunking", "retrieval", "rerank"], "score", digits=9)
+    t = agreement.variable_attribution(factor_scores(spark, d), ["chunking", "retrieval", "rerank"], "score", digits=9)
+    return _rounded(t, ["W", "p", "effect_r", "p_adj"])
 
 
 @query
@@ -430,14 +426,15 @@ def score_cube(spark, d):
 def latency_summary(spark, d):
     """Exact percentiles of the answers' latency per config, by linear interpolation."""
     g = last_answers(spark, d).where("latency_ms is not null and not isnan(latency_ms)")
-    return g.groupBy("dataset", "config_id").agg(F.round(F.percentile("latency_ms", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("latency_ms", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("latency_ms", F.lit(0.975)), 6).alias("hi"))
+    got = exact_percentiles(g, ["dataset", "config_id"], "latency_ms", {"lo": 0.025, "median": 0.5, "hi": 0.975})
+    return got.select("dataset", "config_id", *[F.round(c, 6).alias(c) for c in ("lo", "median", "hi")])
 
 
 # ---------------------------------------------------------------- annotation
 
 
 def sheet(spark, d):
-    g = last_answers(spark, d).where("config_id = 'fixed__bm25__none'")
+    g = last_answers(spark, d).where("config_id = 'fixed__hybrid__cross_encoder'")
     return sampling.annotation_sheet(g)
 
 
@@ -447,8 +444,8 @@ def annotation_sheet(spark, d):
     return s.withColumn("contexts_shown", F.md5("contexts_shown"))
 
 
-def _stores(spark, d, every=5):
-    q = labels(spark, d, every)
+def _stores(spark, d):
+    q = labels(spark, d, None)
     old = q.withColumn("seq", F.lit(1).cast("bigint"))
     new = q.where(F.col("context_relevance") == 1).withColumn("answer_relevance", 1 - F.col("answer_relevance")).withColumn("seq", F.lit(2).cast("bigint"))
     return old, new
@@ -460,9 +457,11 @@ def label_upsert(spark, d):
 
 
 @query
-def label_upsert_all(spark, d):
-    """As label_upsert, over entries of all queries."""
-    return sampling.upsert_labels(*_stores(spark, d, None)).select("dataset", "query_id", *judging.DIMS, "seq")
+def label_inputs(spark, d):
+    """Typed labels, made from the events' numbers, parsed or refused."""
+    n = F.col("event_id")
+    raw = F.concat_ws(",", (n % 2).cast("string"), (n % 3).cast("string"), F.when(n % 5 > 0, F.lit(" 1 ")))
+    return _read(spark, d, "events").select("event_id", F.array_join(F.transform(sampling.parse_label_input(raw), lambda x: x.cast("string")), "").alias("marks"))
 
 
 @query

@@ -133,7 +133,8 @@ METRICS = ["P@1", "P@3", "P@5", "P@10", "MRR", "nDCG@10"]
 MARKS = """
 mk AS (SELECT dataset, config_id, query_id, coalesce(len(contexts) > 0, false)::INT AS context_relevance, coalesce(length(answer) > 20, false)::INT AS answer_faithfulness, coalesce(tokens_out > 8, false)::INT AS answer_relevance FROM gen),
 lb AS (SELECT dataset, query_id, ('0x' || substr(md5(query_id), 1, 1))::INT % 2 AS context_relevance, ('0x' || substr(md5(query_id), 2, 1))::INT % 2 AS answer_faithfulness, ('0x' || substr(md5(query_id), 3, 1))::INT % 2 AS answer_relevance
-  FROM que WHERE regexp_extract(query_id, '([0-9]+)$', 1) <> '' AND regexp_extract(query_id, '([0-9]+)$', 1)::BIGINT % 5 = 0)"""
+  FROM que WHERE regexp_extract(query_id, '([0-9]+)$', 1) <> '' AND regexp_extract(query_id, '([0-9]+)$', 1)::BIGINT % 5 = 0),
+la AS (SELECT dataset, query_id, ('0x' || substr(md5(query_id), 1, 1))::INT % 2 AS context_relevance, ('0x' || substr(md5(query_id), 2, 1))::INT % 2 AS answer_faithfulness, ('0x' || substr(md5(query_id), 3, 1))::INT % 2 AS answer_relevance FROM que)"""
 
 
 def ppi(glob: bool) -> str:
@@ -163,7 +164,7 @@ PAIR_KEYS = "dataset, framework_a, framework_b"
 BOOT = f"""
 pl AS ({pairs(False)}), pt AS ({rho('pl', PAIR_KEYS)}),
 rw AS (SELECT {PAIR_KEYS}, x, y, row_number() OVER (PARTITION BY {PAIR_KEYS} ORDER BY config_id) - 1 AS i, count(*) OVER (PARTITION BY {PAIR_KEYS}) AS n FROM pl WHERE x IS NOT NULL AND y IS NOT NULL),
-sl AS (SELECT DISTINCT {PAIR_KEYS}, n, it, slot FROM rw, generate_series(0, 499) g(it), generate_series(0, n - 1) s(slot)),
+sl AS (SELECT DISTINCT {PAIR_KEYS}, n, it, slot FROM rw, generate_series(0, 9999) g(it), generate_series(0, n - 1) s(slot)),
 dw AS (SELECT s.dataset, s.framework_a, s.framework_b, s.it, r.x, r.y FROM sl s JOIN rw r ON r.dataset = s.dataset AND r.framework_a = s.framework_a AND r.framework_b = s.framework_b AND r.i = ('0x' || substr(md5(s.it || '|' || s.slot || '|42'), 1, 8))::BIGINT % s.n),
 bo AS ({rho('dw', PAIR_KEYS + ', it')}),
 rp AS (SELECT pt.dataset, pt.framework_a, pt.framework_b, pt.spearman_rho, b.n_boot, b.ci_lo, b.ci_hi FROM pt LEFT JOIN (SELECT {PAIR_KEYS}, count(*) AS n_boot, quantile_cont(spearman_rho::DOUBLE, 0.025) AS ci_lo, quantile_cont(spearman_rho::DOUBLE, 0.975) AS ci_hi FROM bo WHERE spearman_rho IS NOT NULL GROUP BY {PAIR_KEYS}) b USING ({PAIR_KEYS}))"""
@@ -192,7 +193,7 @@ def cells(digits: int | None = 9) -> str:
 
 
 SHEET = f"""
-sh AS (SELECT dataset, query_id, question, {numbered('contexts')} AS contexts_shown, answer FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42|' || query_id), query_id) AS r FROM gen WHERE config_id = 'fixed__bm25__none') WHERE r <= 200)"""
+sh AS (SELECT dataset, query_id, question, {numbered('contexts')} AS contexts_shown, answer FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42|' || query_id), query_id) AS r FROM gen WHERE config_id = 'fixed__hybrid__cross_encoder') WHERE r <= 200)"""
 
 PROMPT = (
     'Answer the question using ONLY the provided context passages. If the context does not contain the answer, say "I cannot answer from the given context."',
@@ -200,6 +201,25 @@ PROMPT = (
 )
 
 
+# Fixed value: the judge's prompt; § marks its slots.
+JUDGE = """
+You are evaluating a retrieval-augmented QA system. Given the
+question, retrieved context, and generated answer, score each criterion 0 or 1.
+
+Question: §q
+Context: §c
+Answer: §a
+
+Criteria:
+1. context_relevance: Is the context relevant to answering the question?
+2. answer_faithfulness: Is the answer supported by the context (no hallucination)?
+3. answer_relevance: Does the answer address the question?
+
+Respond with ONLY a JSON object: {"context_relevance": 0 or 1,
+"answer_faithfulness": 0 or 1, "answer_relevance": 0 or 1}
+"""
+
+
 def sql() -> dict[str, str]:
     c64 = chunks("ch", 64, 0)
     run = "SELECT dataset, query_id, chunk_id, score, rank FROM"
@@ -208,12 +228,23 @@ def sql() -> dict[str, str]:
     s = ", ".join(f'round(avg("{x}"), 9) AS "ir_{x}"' for x in METRICS)
     nl = "chr(10)"
     prompt = f"'{PROMPT[0]}' || {nl} || {nl} || 'Context:' || {nl} || {numbered('contexts')} || {nl} || {nl} || 'Question: ' || coalesce(question, '') || {nl} || {nl} || 'Answer:'"
+    judge = "replace(replace(replace('" + JUDGE.strip().replace("'", "''") + "', '§q', coalesce(question, '')), '§c', coalesce(array_to_string(contexts, chr(10)), '')), '§a', coalesce(answer, ''))"
     w = """
       vv AS (SELECT dataset, variable, a, b, abs(d) AS v, count(*) AS t, count(*) FILTER (d > 0) AS pos FROM (SELECT *, round(x - y, 9) AS d FROM ps) WHERE d <> 0 GROUP BY ALL),
       vr AS (SELECT *, sum(t) OVER (PARTITION BY dataset, variable, a, b ORDER BY v) - t + (t + 1) / 2.0 AS rk FROM vv),
       sm AS (SELECT dataset, variable, a, b, sum(rk * pos) AS plus, sum(rk * t) AS al FROM vr GROUP BY ALL),
       tt AS (SELECT dataset, variable, a, b, count(*) AS n, bool_and(abs(x - y) <= 1e-8 + 1e-5 * abs(y)) AS c FROM ps GROUP BY ALL)
       SELECT dataset, variable, a, b, CASE WHEN NOT c AND al IS NOT NULL THEN round(least(plus, al - plus), 9)::DOUBLE END AS "W", CASE WHEN c OR al IS NULL THEN 0.0 ELSE round(2 * plus / al - 1, 9) END::DOUBLE AS effect_r, n FROM tt LEFT JOIN sm USING (dataset, variable, a, b)"""
+    # the tail of the normal distribution by Simpson's rule over twelve units
+    tail = "0.003 / 3 * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i % 4000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs(z) + 0.003 * i, 2) / 2))) * sqrt(2 / pi())"
+    attribution = f"""
+      ww AS ({w[w.index('SELECT dataset, variable, a, b, CASE'):]}),
+      zz AS (SELECT dataset, variable, a, b, sum(t)::DOUBLE AS m, sum(pow(t::DOUBLE, 3) - t) AS ties FROM vr GROUP BY ALL),
+      pz AS (SELECT ww.*, CASE WHEN "W" IS NOT NULL THEN ("W" - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24) END AS z FROM ww LEFT JOIN zz USING (dataset, variable, a, b)),
+      pp AS (SELECT dataset, variable, a, b, "W", effect_r, n, CASE WHEN "W" IS NULL THEN 1.0 ELSE {tail} END AS p FROM pz),
+      st AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY p, variable, a, b) + 1)) AS s FROM pp),
+      ad AS (SELECT dataset, variable, a, b, "W", p, effect_r, n, max(s) OVER (PARTITION BY dataset ORDER BY p, variable, a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_adj FROM st)
+      SELECT dataset, variable, a, b, "W", round(p, 9) AS p, effect_r, n, round(p_adj, 9) AS p_adj, p_adj < 0.05 AS significant FROM ad"""
     return {
         "p6_found": f"WITH {REFS} SELECT * FROM found",
         "p6_report": f"""WITH {REFS} SELECT r.table_name, r.ref_column, r.ref_month, r.n_references, coalesce(f.m, 0)::BIGINT AS n_missing, coalesce(f.l, 0)::BIGINT AS n_late, coalesce(f.d, 0)::BIGINT AS n_deleted,
@@ -257,7 +288,8 @@ def sql() -> dict[str, str]:
         "contexts_top5": f"{bm} SELECT dataset, query_id, count(*)::INT AS n_contexts, string_agg(c.text, chr(10) ORDER BY b.rank) AS joined FROM bm b JOIN ch c USING (dataset, chunk_id) WHERE b.rank <= 5 GROUP BY dataset, query_id",
         "prompt_build": f"WITH {TABLES} SELECT dataset, config_id, query_id, md5({prompt}) AS prompt_md5 FROM gen",
         "gen_cost_latency": f"WITH {TABLES} SELECT dataset, config_id, round(avg(CASE WHEN NOT isnan(latency_ms) THEN latency_ms END), 6) AS mean_latency_ms, round(avg((tokens_in::DOUBLE * 0.15::DOUBLE + tokens_out::DOUBLE * 0.6::DOUBLE) / 1e6 * 0.92::DOUBLE) * 1000, 9) AS cost_eur_per_1k, count(*) AS n_calls FROM gen GROUP BY ALL",
-        "llm_cache_misses": f"WITH {TABLES}, k AS (SELECT sha256(coalesce(question, '') || '|' || {numbered('contexts')}) AS key, cached FROM gen) SELECT DISTINCT key FROM k WHERE NOT cached AND key NOT IN (SELECT key FROM k WHERE cached)",
+        "llm_cache_misses": f"WITH {TABLES}, k AS (SELECT sha256('{{\"c\":' || coalesce(to_json(contexts), 'null') || ',\"m\":\"offline\",\"q\":' || coalesce(to_json(question), 'null') || ',\"t\":0.0}}') AS key, cached FROM gen) SELECT DISTINCT key FROM k WHERE NOT cached AND key NOT IN (SELECT key FROM k WHERE cached)",
+        "judge_prompts": f"WITH {TABLES} SELECT dataset, config_id, query_id, md5({judge}) AS prompt_md5 FROM gen",
         "judge_parse": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE (event_id % 2) END::INT AS context_relevance, CASE WHEN event_id % 7 <> 0 AND event_id % 3 = 0 THEN 1 ELSE 0 END::INT AS answer_faithfulness, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 2 END::INT AS answer_relevance FROM events",
         "judge_composite": f"WITH {TABLES}, {MARKS} SELECT dataset, config_id, round((avg(context_relevance) + avg(answer_faithfulness) + avg(answer_relevance)) / 3, 9) AS ares_composite, count(*) AS n_judged FROM mk GROUP BY ALL",
         "ppi_by_config": ppi(False),
@@ -274,12 +306,14 @@ def sql() -> dict[str, str]:
         + f"), r AS ({rho('pl', 'framework')}) SELECT framework, round(spearman_rho, 9) AS rho_cross_dataset, n FROM r",
         "paired_factor_scores": f"WITH {TABLES}, {FACTORS} SELECT dataset, variable, query_id, a, b, round(x, 9) AS x, round(y, 9) AS y FROM ps",
         "wilcoxon_w": f"WITH {TABLES}, {FACTORS}, {w}",
+        "variable_attribution": f"WITH {TABLES}, {FACTORS}, {w[: w.index('SELECT dataset, variable, a, b, CASE')].rstrip()}, {attribution}",
+        "label_inputs": "SELECT event_id, CASE WHEN event_id % 5 > 0 AND event_id % 3 < 2 THEN (event_id % 2)::VARCHAR || (event_id % 3)::VARCHAR || '1' END AS marks FROM events",
         "holm_bonferroni": f"""WITH {TABLES}, t AS (SELECT dataset, config_id, avg((coalesce(tokens_out, 0) > 200)::INT) / 20 AS p FROM gen GROUP BY ALL),
               s AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY p, config_id) + 1)) AS st FROM t),
               h AS (SELECT dataset, config_id, p, max(st) OVER (PARTITION BY dataset ORDER BY p, config_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_adj FROM s) SELECT dataset, config_id, round(p, 9) AS p, round(p_adj, 9) AS p_adj, p_adj < 0.05 AS significant FROM h""",
         "score_cube": 'SELECT chunking, retrieval, rerank, round(avg("ir_nDCG@10"), 9) AS mean_ndcg, round(avg(ragas_faithfulness), 9) AS mean_faithfulness, count(*) AS n_cells FROM summary GROUP BY CUBE (chunking, retrieval, rerank)',
         "latency_summary": f"WITH {TABLES} SELECT dataset, config_id, round(quantile_cont(latency_ms, 0.025), 6) AS lo, round(quantile_cont(latency_ms, 0.5), 6) AS median, round(quantile_cont(latency_ms, 0.975), 6) AS hi FROM gen WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) GROUP BY ALL",
         "annotation_sheet": f"WITH {TABLES}, {SHEET} SELECT dataset, query_id, question, md5(contexts_shown) AS contexts_shown, answer, '' AS context_relevance, '' AS answer_faithfulness, '' AS answer_relevance FROM sh",
-        "label_upsert": f"WITH {TABLES}, {MARKS} SELECT dataset, query_id, context_relevance, answer_faithfulness, CASE WHEN context_relevance = 1 THEN 1 - answer_relevance ELSE answer_relevance END AS answer_relevance, CASE WHEN context_relevance = 1 THEN 2 ELSE 1 END::BIGINT AS seq FROM lb",
+        "label_upsert": f"WITH {TABLES}, {MARKS} SELECT dataset, query_id, context_relevance, answer_faithfulness, CASE WHEN context_relevance = 1 THEN 1 - answer_relevance ELSE answer_relevance END AS answer_relevance, CASE WHEN context_relevance = 1 THEN 2 ELSE 1 END::BIGINT AS seq FROM la",
         "labels_remaining": f"WITH {TABLES}, {MARKS}, {SHEET} SELECT dataset, query_id FROM sh WHERE NOT EXISTS (SELECT 1 FROM lb WHERE lb.dataset = sh.dataset AND lb.query_id = sh.query_id)",
     }

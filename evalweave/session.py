@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 from typing import Any
 
@@ -30,11 +31,15 @@ def local_session(cores: int = 8, app: str = "evalweave", **conf: str) -> SparkS
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, written to the shared folder of spark.checkpoint.dir; survives the loss of executors.
 
-    Only where the cluster names no folder (tests) a temporary one is set.
+    Where no folder is named, a temporary one is set on a local master; on a
+    cluster, where executors do not share their disks, that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evalweave-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evalweave-ckpt-"))
     return df.checkpoint(eager=True)
 
 

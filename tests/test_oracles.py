@@ -10,7 +10,6 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"p3_error_check"}
 
 
 def _rows(df):
@@ -39,7 +38,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_against_sql(spark, duck, name):
     got = _rows(entry.queries()[name](spark, DATA).toPandas())
     want = _rows(duck.execute(entry.oracle_sql()[name]).df())

@@ -113,7 +113,7 @@ def test_full_queries_take_all_draws_and_entries(spark, make, tmp_path):
     make("dataset string, config_id string, `ir_nDCG@10` double, ragas_faithfulness double, ares_composite double", *scores).write.parquet(f"{tmp_path}/summary.parquet")
     q = catalogue.queries()
     # a few draws are all of one config and have no rank correlation
-    assert min(r.n_boot for r in q["bootstrap_spearman_md5_full"](spark, str(tmp_path)).collect()) > 9_900
-    assert q["agreement_pattern_shift_full"](spark, str(tmp_path)).count() == 3
+    assert min(r.n_boot for r in q["bootstrap_spearman_md5"](spark, str(tmp_path)).collect()) > 9_900
+    assert q["agreement_pattern_shift"](spark, str(tmp_path)).count() == 3
     make("dataset string, query_id string, text string, batch_no int, added_at string", *[("nq", f"q{i}", "why", 1, "2024-01-01") for i in range(11)]).write.parquet(f"{tmp_path}/queries.parquet")
-    assert {r.query_id for r in q["label_upsert_all"](spark, str(tmp_path)).collect()} == {f"q{i}" for i in range(11)}
+    assert {r.query_id for r in q["label_upsert"](spark, str(tmp_path)).collect()} == {f"q{i}" for i in range(11)}

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,16 +18,17 @@ def test_tokens_like_python_split(make):
 
 
 def test_fixed_and_sliding_counts(make):
-    text = " ".join(f"tok{i}" for i in range(700))
+    words = [f"{x}-{y}" for y in range(70) for x in "abcdefghij"]
+    text = "\n".join(words)
     df = make(DOC, ("d", text, "k"), ("e", None, "k"), ("f", "  ", "k"))
     fixed = {r.chunk_id: r for r in chunking.chunk_fixed(df, 256, keep=["extra"]).collect()}
     assert sorted(fixed) == ["d::c0", "d::c1", "d::c2"]
-    assert fixed["d::c0"].text == " ".join(f"tok{i}" for i in range(256)) and fixed["d::c0"].extra == "k"
+    assert fixed["d::c0"].text == " ".join(words[:256]) and fixed["d::c0"].extra == "k"
     assert chunking.chunk_sliding(df, 256, 64).count() == 4
 
 
 def test_packed_sentences(make):
-    df = make(DOC, ("d", "One. Two. Three. " * 100, ""), ("e", "word " * 80 + "end. Next.", ""))
+    df = make(DOC, ("d", "Rain fell! Who saw it? Nobody near did. " * 40, ""), ("e", "word " * 80 + "end. Next.", ""))
     got = chunking.chunk_packed(df, 50).collect()
     assert all(len(r.text.split()) <= 50 for r in got if r.doc_id == "d")
     long = sorted((r.chunk_ix, r.text) for r in got if r.doc_id == "e")
@@ -42,6 +44,26 @@ def test_semantic_against_plain_python(make):
     assert len([k for k in got if k.startswith("d0")]) == 2
 
 
+def similarity_brute(vecs, sizes, limit, threshold):
+    """Whether each sentence opens a chunk, asked of it alone."""
+    starts = [0]
+    for i in range(1, len(vecs)):
+        mine = vecs[starts[-1] : i].sum(0)
+        if sum(sizes[starts[-1] : i + 1]) > limit or mine @ vecs[i] / np.linalg.norm(mine) < threshold:
+            starts.append(i)
+    return starts
+
+
+def test_similarity_starts():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 12), 300]:
+        vecs = rng.random((n, 5)) ** 3
+        vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+        sizes = rng.integers(1, 30, n)
+        for limit, threshold in ((60, 0.7), (5, 0.5), (10_000, 0.0), (10_000, 0.95)):
+            assert chunking.similarity_starts(vecs, sizes, limit, threshold) == similarity_brute(vecs, sizes, limit, threshold)
+
+
 def test_prompt_and_cost(make):
     df = make("q string, c array<string>", ("why", ["a", "b"]), (None, None))
     rows = df.select(generation.prompt(F.col("q"), F.col("c")).alias("p")).collect()
