@@ -49,3 +49,38 @@ def test_hot_key(make):
     got = _judge(make, refs, [("a", "hot", "2024-03-01", None, "x")])[1]
     c = {r.reason: r["count"] for r in got.groupBy("reason").count().collect()}
     assert c == {"late": 400, "missing": 200}
+
+
+def test_sweep_against_brute_force(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    when = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 90))
+    keys = ["hot"] * 30 + [f"k{i}" for i in range(12)]
+    pars = []
+    for i in range(160):
+        b = when() if rng.random() < 0.95 else None
+        e = rng.choice([None, when(), b])
+        pars.append((i, rng.choice(["a", None]), rng.choice(keys), b, e))
+    rows = [(i, rng.choice(["a", None]), rng.choice([*keys, "none", None, " HOT "]), when() if rng.random() < 0.95 else None) for i in range(1500)]
+    rows += [(2000 + i, g, k, t) for i, (_, g, k, b, e) in enumerate(pars) for t in (b, e)]  # the very moments of change
+    p = spark.createDataFrame(pars, "i int, dataset string, doc_id string, loaded_at timestamp, deleted_at timestamp")
+    r = spark.createDataFrame(rows, "row_id long, dataset string, doc_id string, at timestamp")
+    want = []
+    for i, g, k, t in rows:
+        if k is None:
+            continue
+        k = k.strip().lower()
+        mine = [(b or dt.datetime.min, e) for _, pg, pk, b, e in pars if (pg, pk) == (g, k)]
+        if not mine:
+            why = "missing"
+        elif t is None or any(b <= t and (e is None or t < e) for b, e in mine):
+            continue
+        else:
+            why = "late" if min(b for b, _ in mine) > t else "deleted"
+        want.append((i, why, t.strftime("%Y-%m") if t else None))
+    got = R.orphan_references([R.references(r, "x", "doc_id", "row_id", "at", "t")], [R.parents(p, "t", "doc_id", "loaded_at", "deleted_at")])
+    key = lambda x: (x[0], x[1], x[2] or "")
+    assert sorted(((x.row_id, x.reason, x.ref_month) for x in got.collect()), key=key) == sorted(want, key=key)
+    assert len({w for _, w, _ in want}) == 3
