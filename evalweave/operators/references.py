@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalweave.session import checkpointed
+
 _EDGE = r"^[\s\p{IsWhite_Space}]+|[\s\p{IsWhite_Space}]+$"
 
 
@@ -97,7 +99,8 @@ def orphan_references(refs: list[DataFrame], targets: list[DataFrame]) -> DataFr
     p = reduce(DataFrame.unionByName, targets)
     s = suspect_keys(r, p).alias("s")
     a = r.alias("a")
-    back = a.join(s, _same("a", "s")).select(*[f"a.{c}" for c in r.columns], "s.first_begins", "s.ended")
+    # read three times below: the references of suspect keys are written once
+    back = checkpointed(a.join(s, _same("a", "s")).select(*[f"a.{c}" for c in r.columns], "s.first_begins", "s.ended"))
     early = back.where("first_begins is null or at < first_begins").withColumn("reason", F.when(F.col("first_begins").isNull(), F.lit("missing")).otherwise(F.lit("late")))
     later = back.where("ended and at >= first_begins").drop("first_begins", "ended")
     deleted = p.where("ends is not null").select(*KEYS).distinct().alias("d")
