@@ -28,19 +28,23 @@ def p1_sample_batches(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("dataset", "batch_no").agg(F.count("*").alias("n_rows"), F.countDistinct(stable_sample.clean_key(F.col("query_id"))).alias("n_queries"))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "generation")
+def _models(spark: SparkSession, d: str, rows: DataFrame) -> tuple[langid.EcocModel, truncation.EndModel]:
     lm = langid.fit_language_model(_read(spark, d, "documents"))
-    em = truncation.fit_end_model(rows, lm)
-    return pairs.find_defects(rows, lm, em, keep=("source",))
+    return lm, truncation.fit_end_model(rows, lm)
+
+
+def _ends(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "generation")
+    lm, em = _models(spark, d, rows)
+    return truncation.score_truncation(rows, em, lm, "gen_id", keep=("source",))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).where("defect = 'truncated'").select("gen_id").distinct()
+    return _ends(spark, d).where("truncated").select("gen_id").distinct()
 
 
 def p2_source_report(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.source_report(_judged(spark, d).withColumn("truncated", F.coalesce(F.col("defect") == "truncated", F.lit(False))))
+    return truncation.source_report(_ends(spark, d))
 
 
 def _calls(spark: SparkSession, d: str, time_col: str | None = None, salts: int = 64) -> DataFrame:
@@ -96,7 +100,9 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).where("defect is not null").select("gen_id", "defect").distinct()
+    rows = _read(spark, d, "generation")
+    lm, em = _models(spark, d, rows)
+    return pairs.find_defects(rows, lm, em).where("defect is not null").select("gen_id", "defect").distinct()
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
