@@ -7,7 +7,9 @@ piece then breaks a limit, a piece is added and the targets are placed anew.
 Every piece after the first begins ``overlap`` tokens before its own part.
 
 A token is a run of characters other than Unicode White_Space.  A token that is
-too long for a piece is cut between code points, not before combining marks.
+too long for a piece is cut between code points, not before combining marks;
+white space that is too long for a piece is cut like a token of no weight.
+Every character is in the own part of one piece.
 
 Only rows over a limit leave the JVM.  Defined results for odd input: null,
 empty and small texts are one piece (``split_rows`` returns them only with
@@ -48,10 +50,17 @@ def over_limit(text: Column, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_
 
 def _units(text: str, longest: int) -> list[tuple[int, int, int, int]]:
     """(from, to, tokens begun, strength of the boundary before it) of each token or part of a long token."""
-    out = []
+    out: list[tuple[int, int, int, int]] = []
     end = 0
+
+    def blanks(lo: int, hi: int) -> None:
+        """Units of white space, where there is too much of it to go with its neighbours."""
+        if hi - lo > longest:
+            out.extend((at, min(hi, at + longest), 0, 4 if at == lo else 1) for at in range(lo, hi, longest))
+
     for m in TOKEN.finditer(text):
         gap, before = text[end : m.start()], text[max(0, end - 8) : end]
+        blanks(end, m.start())
         if not out:
             strength = 9
         elif gap.count("\n") > 1 or "\u2029" in gap:
@@ -79,6 +88,7 @@ def _units(text: str, longest: int) -> list[tuple[int, int, int, int]]:
                     lo, begun, strength = stop, 0, 3 if text[stop - 1] in "。！？" else 2
         out.append((lo, m.end(), begun, strength))
         end = m.end()
+    blanks(end, len(text))
     return out
 
 
@@ -90,6 +100,8 @@ def split_text(text: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHA
     """
     units = _units(text, max(1, min(200, max_chars // 4)))
     n = len(units)
+    # a piece runs to where the next one's own part begins, the first from the start of the text and the last to its end
+    edge = [0, *[u[0] for u in units[1:]], len(text)]
     begun = [0]
     for u in units:
         begun.append(begun[-1] + u[2])
@@ -101,21 +113,20 @@ def split_text(text: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHA
     def back(i: int) -> int:
         """First unit of the overlap of a piece whose own part begins at unit i; never more than a third of the characters."""
         j, seen = i, 0
-        while j > 0 and seen < overlap and units[i - 1][1] - units[j - 1][0] <= max_chars // 3:
+        while j > 0 and seen < overlap and edge[i] - edge[j - 1] <= max_chars // 3:
             j -= 1
             seen += units[j][2]
         return j
 
     def cost(i: int, j: int) -> tuple[int, int]:
         b = back(i) if i else 0
-        return begun[j] - begun[b] + (0 if units[b][2] else 1), units[j - 1][1] - units[b][0]
+        return begun[j] - begun[b] + (0 if units[b][2] or text[units[b][0]].isspace() else 1), edge[j] - edge[b]
 
     def fits(i: int, j: int) -> bool:
         t, c = cost(i, j)
         return t <= max_tokens and c <= max_chars
 
-    size = units[-1][1] - units[0][0]
-    m = max(2, math.ceil((tokens - overlap) / max(1, max_tokens - overlap)), math.ceil(size / max_chars))
+    m = max(2, math.ceil((tokens - overlap) / max(1, max_tokens - overlap)), math.ceil(len(text) / max_chars))
     while True:
         cuts = [0]
         for k in range(1, m):
@@ -140,7 +151,7 @@ def split_text(text: str, max_tokens: int = MAX_TOKENS, max_chars: int = MAX_CHA
     for k, i in enumerate(cuts):
         j = cuts[k + 1] if k + 1 < len(cuts) else n
         b = back(i) if i else 0
-        out.append((units[b][0], 0 if k == 0 else units[i][0], units[j - 1][1], cost(i, j)[0], units[i][3]))
+        out.append((edge[b], edge[i], edge[j], cost(i, j)[0], units[i][3]))
     return out
 
 

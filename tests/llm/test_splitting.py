@@ -10,13 +10,13 @@ from evalweave.llm import splitting as S
 def check(text, max_tokens, max_chars, overlap):
     ps = S.split_text(text, max_tokens, max_chars, overlap)
     if len(ps) == 1:
-        assert ps[0][:3] == (0, 0, len(text))
+        assert ps[0][:3] == (0, 0, len(text)) and len(text) <= max_chars and ps[0][3] <= max_tokens
         return ps
     assert "".join(text[a:b] for a, b in zip([p[1] for p in ps], [p[1] for p in ps[1:]] + [len(text)])) == text
     for k, (start, own, stop, tokens, _) in enumerate(ps):
         piece = text[start:stop]
         assert len(piece) <= max_chars and len(S.TOKEN.findall(piece)) == tokens <= max_tokens
-        assert start <= own <= stop and piece.strip(" \n")
+        assert start <= own < stop and stop == (ps[k + 1][1] if k + 1 < len(ps) else len(text))
         if k:
             shared = len(S.TOKEN.findall(text[start:own]))
             assert shared <= overlap
@@ -48,6 +48,11 @@ def test_text_without_blanks_and_very_long():
     assert 568 <= len(ps) < 580
 
 
+def test_white_space_over_the_limit():
+    for text in (" " * 3000, "a" + " " * 3000, " " * 3000 + "a", "a" + "\n" * 9000 + "b c " * 400, "\u3000" * 2601):
+        assert len(check(text, 384, 2600, 32)) > 1
+
+
 def test_token_count_like_the_definition(make):
     texts = ["a b c", "a b", "  x  ", "", None, "a\x1cb", "x　y z"]
     df = make("i int, t string", *enumerate(texts))
@@ -57,8 +62,8 @@ def test_token_count_like_the_definition(make):
 
 def test_rows(make):
     big, edge = "word " * 385, "word " * 384
-    rows = [(1, big, 7), (1, big, 7), (2, edge, 7), (3, None, 7), (4, "", 7), (5, "x" * 2600, 7), (6, "x" * 2601, 7)]
+    rows = [(1, big, 7), (1, big, 7), (2, edge, 7), (3, None, 7), (4, "", 7), (5, "x" * 2600, 7), (6, "x" * 2601, 7), (7, "a" + " " * 3000, 7)]
     df = make("load_id long, text string, piece int", *rows)
     got = S.split_rows(df, "load_id").collect()
-    assert {r.load_id for r in got if r.n_pieces > 1} == {1, 6} and len([r for r in got if r.load_id == 1]) == 4
+    assert {r.load_id for r in got if r.n_pieces > 1} == {1, 6, 7} and len([r for r in got if r.load_id == 1]) == 4
     assert S.split_rows(df.where("false"), "load_id").count() == 0
