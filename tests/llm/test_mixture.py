@@ -31,6 +31,26 @@ def test_tree_is_exact_and_even():
     assert share.std() > 0  # drawn, not dealt
 
 
+def test_uses_are_placed_as_the_tree_says(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN", 4)  # shards beyond the fan are split where their blocks are placed
+    n = {"a": 500, "b": 37, "c": 0}
+    rows = [(s, i) for s in n for i in range(n[s])]
+    uses = spark.createDataFrame(rows, "source string, _use long")
+    for shards in (1, 3, 11):
+        got = M.place_uses(uses.repartition(3), list(n), list(n.values()), shards, 5).toPandas()
+        sizes = got.groupby("shard").size()
+        assert len(got) == 537 and len(sizes) == shards and sizes.max() - sizes.min() <= 2
+        assert sorted(map(tuple, got.values)) == sorted(map(tuple, M.place_uses(uses, list(n), list(n.values()), shards, 5).toPandas().values))
+
+
+def test_vocabularies_agree():
+    if not M.Path(M.TOKENIZER).exists():
+        pytest.skip("no vocabulary")
+    texts = ["Plain words, and 12,345 numbers.", "naïve café — 漢字", " \n\n  x", "<|endoftext|>"]
+    ranks = M.token_counter(M.Path(M.TOKENIZER).read_bytes(), ".tiktoken")(texts)
+    assert ranks == M.token_counter(M.Path(M.TOKENIZER).with_suffix(".json").read_bytes(), ".json")(texts)
+
+
 @pytest.fixture
 def docs(make):
     rows = [(i, f"some words of text number {i} " * (1 + i % 5), "Web-Crawl " if i % 2 else "web_crawl", "x") for i in range(600)]
