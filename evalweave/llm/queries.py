@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.functions.stats import joined_null_safe
 from evalweave.llm import langid, leakage, mixture, pairs, quantiles, splitting, stable_sample, truncation
 
 SAMPLE_RATE = 0.1
@@ -47,8 +48,8 @@ def p2_source_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.source_report(_ends(spark, d))
 
 
-def _calls(spark: SparkSession, d: str, time_col: str | None = None, salts: int = 64) -> DataFrame:
-    return quantiles.distinct_calls(_read(spark, d, "gen_calls"), ["dataset", "config_id"], "latency_ms", "call_id", time_col, salts)
+def _calls(spark: SparkSession, d: str, time_col: str | None = None) -> DataFrame:
+    return quantiles.distinct_calls(_read(spark, d, "gen_calls"), ["dataset", "config_id"], "latency_ms", "call_id", time_col)
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -59,22 +60,21 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
     groups = ["dataset", "config_id", "day"]
-    parts = quantiles.build_sketches(_calls(spark, d, "called_at", salts=4), groups)
+    parts = quantiles.build_sketches(_calls(spark, d, "called_at"), groups)
     return quantiles.read_percentiles(quantiles.merge_sketches(parts, groups, fan_in=1), groups, PERCENTILES)
 
 
 def p3_days_joined(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of the whole, from the merged sketches of the single days."""
-    days = quantiles.merge_sketches(quantiles.build_sketches(_calls(spark, d, "called_at", salts=4), ["dataset", "config_id", "day"]), ["dataset", "config_id", "day"], fan_in=1)
+    days = quantiles.merge_sketches(quantiles.build_sketches(_calls(spark, d, "called_at"), ["dataset", "config_id", "day"]), ["dataset", "config_id", "day"], fan_in=1)
     groups = ["dataset", "config_id"]
     return quantiles.read_percentiles(quantiles.merge_sketches(days.drop("day"), groups), groups, PERCENTILES)
 
 
-def p3_error_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the rank of every percentile is within the stated bound, by counting all rows against it."""
+def _within(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """Whether the rank of every percentile is within the stated bound, by counting all rows against it; ``found`` has one row per group."""
     calls = _calls(spark, d).where("value >= 0 and not isnan(value)")
-    found = p3_percentiles(spark, d)
-    rows = calls.join(F.broadcast(found), ["dataset", "config_id"])
+    rows = joined_null_safe(calls, found, ["dataset", "config_id"])
     aggs = [F.count("*").alias("n_valid")]
     for x in PERCENTILES:
         aggs += [F.sum(F.when(F.col("value") < F.col(x), 1).otherwise(0)).alias(f"{x}_below"), F.sum(F.when(F.col("value") <= F.col(x), 1).otherwise(0)).alias(f"{x}_upto"), F.max(f"{x}_rank_error").alias(f"{x}_bound")]
@@ -83,6 +83,15 @@ def p3_error_check(spark: SparkSession, d: str) -> DataFrame:
     return g.select("dataset", "config_id", "n_valid", *[((F.col(f"{x}_below") + 1 - rank[x] <= F.col(f"{x}_bound")) & (rank[x] - F.col(f"{x}_upto") <= F.col(f"{x}_bound"))).alias(f"{x}_within") for x in PERCENTILES])
 
 
+def p3_error_check(spark: SparkSession, d: str) -> DataFrame:
+    return _within(spark, d, p3_percentiles(spark, d))
+
+
+def p3_days_error_check(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_error_check, for the figures joined from single days."""
+    return _within(spark, d, p3_days_joined(spark, d))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, key in (("corpus", "load_id"), ("chunks", "chunk_row")):
@@ -135,7 +144,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_sample, p1_sample_batches, p2_found, p2_source_report, p3_percentiles, p3_daily_percentiles, p3_days_joined, p3_error_check, p4_found, p4_pieces, p5_found, p7_found, p7_item_report, p8_mixture, p8_report, p9_found, p9_segments)
+    for f in (p1_sample, p1_sample_batches, p2_found, p2_source_report, p3_percentiles, p3_daily_percentiles, p3_days_joined, p3_error_check, p3_days_error_check, p4_found, p4_pieces, p5_found, p7_found, p7_item_report, p8_mixture, p8_report, p9_found, p9_segments)
 }
 
 _POS = "((('0x' || substr(md5(dataset || '|' || query_id), 1, 4))::BIGINT * 40503 + 12345) % 65536)"
@@ -144,6 +153,13 @@ _LISTED = stable_sample.listed(SAMPLE_RATE)
 _KEYS = f"SELECT {_KEY.format(c='dataset')} AS dataset, {_KEY.format(c='query_id')} AS query_id"
 _TOKENS = "len(regexp_extract_all(text, '[^\\t\\n\\v\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'))"
 
+_BOUND = """
+        WITH c AS (SELECT call_id, lower(trim(dataset)) AS dataset, regexp_replace(lower(trim(config_id)), '[ -]+', '_', 'g') AS config_id, max(latency_ms) AS v
+                   FROM gen_calls WHERE call_id IS NOT NULL GROUP BY ALL
+                   UNION ALL SELECT NULL, lower(trim(dataset)), regexp_replace(lower(trim(config_id)), '[ -]+', '_', 'g'), latency_ms FROM gen_calls WHERE call_id IS NULL)
+        SELECT dataset, config_id, count(*) AS n_valid, true AS p50_within, true AS p90_within, true AS p95_within, true AS p99_within, true AS p999_within
+        FROM c WHERE v >= 0 AND NOT isnan(v) GROUP BY dataset, config_id"""
+
 ORACLE: dict[str, str] = {
     "p1_sample": f"""
         WITH k AS ({_KEYS}, 1 AS q, 0 AS g FROM queries UNION ALL {_KEYS}, 0, 1 FROM generation)
@@ -152,11 +168,8 @@ ORACLE: dict[str, str] = {
     "p1_sample_batches": f"""
         WITH k AS ({_KEYS}, dataset AS ds, batch_no FROM queries)
         SELECT ds AS dataset, batch_no, count(*) AS n_rows, count(DISTINCT query_id) AS n_queries FROM k WHERE {_POS} < {_LISTED} GROUP BY ds, batch_no""",
-    "p3_error_check": """
-        WITH c AS (SELECT call_id, lower(trim(dataset)) AS dataset, regexp_replace(lower(trim(config_id)), '[ -]+', '_', 'g') AS config_id, CAST(called_at AS DATE) AS day, max(CASE WHEN latency_ms IS NULL THEN NULL ELSE latency_ms END) AS v
-                   FROM gen_calls WHERE call_id IS NOT NULL GROUP BY ALL)
-        SELECT dataset, config_id, count(*) AS n_valid, true AS p50_within, true AS p90_within, true AS p95_within, true AS p99_within, true AS p999_within
-        FROM c WHERE v >= 0 AND NOT isnan(v) GROUP BY dataset, config_id""",
+    "p3_error_check": _BOUND,
+    "p3_days_error_check": _BOUND,
     "p4_found": f"""
         SELECT 'corpus' AS table_name, load_id AS row_id FROM corpus WHERE {_TOKENS} > 384 OR length(text) > 2600
         UNION ALL SELECT 'chunks', chunk_row FROM chunks WHERE {_TOKENS} > 384 OR length(text) > 2600""",

@@ -37,6 +37,43 @@ def test_bound_over_merged_parts(n, order):
         assert len(total.dump()) < 60_000
 
 
+def _orders(n):
+    x = np.arange(n, dtype=float)
+    yield "zoom in", np.concatenate([x[: n // 2], x[: n // 2 - 1 : -1]]).reshape(2, -1).T.ravel()
+    yield "zoom out", np.concatenate([x[: n // 2], x[: n // 2 - 1 : -1]]).reshape(2, -1).T.ravel()[::-1]
+    yield "organ pipe", np.concatenate([x[::2], x[1::2][::-1]])
+    yield "blocks upside down", x.reshape(-1, 500)[::-1].ravel()
+    yield "every second twice", np.repeat(x[::2], 2)
+    yield "sawtooth", np.concatenate([x[i::97] for i in range(97)])
+    yield "one value and a tail", np.where(x % 10 > 0, 5.0, x)
+
+
+def test_bound_over_adversarial_orders_and_lopsided_merges():
+    n = 100_000
+    for name, x in _orders(n):
+        one = Q.RelativeSketch()
+        one.add(x)
+        _check(x, one, Q.K)
+        single = Q.RelativeSketch()  # value by value: every compaction by the schedule
+        for v in x[:6_000]:
+            single.add(np.array([v]))
+        _check(x[:6_000], single, Q.K)
+        total = Q.RelativeSketch()
+        total.add(x[: n // 2])
+        for part in np.array_split(x[n // 2 :], 700):  # a large sketch and many tiny ones
+            s = Q.RelativeSketch()
+            s.add(part)
+            total.merge(s)
+        assert total.n == n, name
+        _check(x, total, Q.K)
+        level = [Q.RelativeSketch() for _ in range(64)]
+        for s, part in zip(level, np.array_split(x, 64)):
+            s.add(part)
+        while len(level) > 1:  # a balanced tree of merges
+            level = [a.merge(b) or a for a, b in zip(level[::2], level[1::2])]
+        _check(x, level[0], Q.K)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.floats(0, 1e9), min_size=1, max_size=400))
 def test_small_inputs_are_exact(values):
