@@ -123,6 +123,11 @@ def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("largest_share"))
 
 
+def p7_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The search held against a full scan of all items, on the documents whose id is divisible by 50."""
+    return leakage.recall_of_search(_read(spark, d, "documents").where("doc_id % 50 = 0"), _read(spark, d, "eval_items"))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_weights"))[0]
 
@@ -144,7 +149,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_sample, p1_sample_batches, p2_found, p2_source_report, p3_percentiles, p3_daily_percentiles, p3_days_joined, p3_error_check, p3_days_error_check, p4_found, p4_pieces, p5_found, p7_found, p7_item_report, p8_mixture, p8_report, p9_found, p9_segments)
+    for f in (p1_sample, p1_sample_batches, p2_found, p2_source_report, p3_percentiles, p3_daily_percentiles, p3_days_joined, p3_error_check, p3_days_error_check, p4_found, p4_pieces, p5_found, p7_found, p7_item_report, p7_recall, p8_mixture, p8_report, p9_found, p9_segments)
 }
 
 _POS = "((('0x' || substr(md5(dataset || '|' || query_id), 1, 4))::BIGINT * 40503 + 12345) % 65536)"

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from evalweave.llm import leakage as L
 
@@ -9,8 +10,11 @@ VOCAB = [f"w{i}" for i in range(300)]
 ITEMS = [(i, "passage", " ".join(RNG.choices(VOCAB, k=60)) + f" Name{i} town") for i in range(40)] + [(100 + i, "question", " ".join(RNG.choices(VOCAB, k=20))) for i in range(10)] + [(900, "passage", None), (901, "question", "")]
 
 
-def test_wand_finds_what_a_full_scan_finds():
+@pytest.mark.parametrize("cells", [1 << 23, 16])  # ranges of one item, and of several, in which WAND runs
+def test_wand_finds_what_a_full_scan_finds(monkeypatch, cells):
+    monkeypatch.setattr(L, "MAX_CELLS", cells)
     ix = L.ItemIndex(ITEMS)
+    assert (ix.width > 1) == (cells == 16)
     for _ in range(200):
         q = {ix.vocab[w] for w in RNG.choices(VOCAB, k=RNG.randint(1, 60)) if w in ix.vocab}
         full = np.zeros(len(ix.ids))
@@ -20,7 +24,7 @@ def test_wand_finds_what_a_full_scan_finds():
         for theta in (0.05, 0.15, 0.3):
             got = dict(ix.search(list(q), theta))
             want = {i: full[i] for i in range(len(full)) if full[i] >= theta}
-            assert {k for k in want if want[k] > theta + 1e-9} <= got.keys() <= {i for i in range(len(full)) if full[i] > theta - 1e-9}
+            assert {k for k in want if want[k] > theta + 1e-9} <= got.keys() <= {i for i in range(len(full)) if full[i] > theta - 1e-5}
 
 
 def test_whole_partial_noisy_and_decoys(make):
@@ -45,7 +49,21 @@ def test_whole_partial_noisy_and_decoys(make):
     it = make("item_id long, item_kind string, text string", *ITEMS)
     got = {(r.doc_id, r.item_id) for r in L.find_leaks(d, it).collect()}
     assert got == {(1, 3), (2, 3), (3, 3), (9, 104)}
-    assert got == {(r.doc_id, r.item_id) for r in L.find_leaks(d, it, shard_items=7).collect()}
+    assert got == {(r.doc_id, r.item_id) for r in L.find_leaks(d, it, shard_words=900).collect()}
+
+
+def test_recall_against_a_full_scan(make):
+    rng = random.Random(8)
+    docs = []
+    for i in range(120):
+        t = [f"z{rng.randrange(500)}" for _ in range(rng.randint(50, 300))]
+        item = rng.choice(ITEMS[:50])[2].split()
+        part = item[rng.randint(0, 20) :] if rng.random() < 0.5 else item[: rng.randint(20, 60)]
+        noisy = [x for x in part if rng.random() > 0.1]
+        at = rng.randrange(len(t))
+        docs.append((i, " ".join(t[:at] + noisy + t[at:])))
+    r = L.recall_of_search(make("doc_id long, text string", *docs), make("item_id long, item_kind string, text string", *ITEMS)).first()
+    assert r.n_pairs > 60 and r.recall >= 0.99
 
 
 def test_empty_tables(make):
