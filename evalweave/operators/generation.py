@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import text as T
 from evalweave.operators.providers import Writer
+from evalweave.session import checkpointed
 
 # Prices per million tokens, the rate, and the prompt.
 USD_IN_PER_M, USD_OUT_PER_M, USD_TO_EUR = 0.15, 0.60, 0.92
@@ -47,8 +48,8 @@ def cost_eur(tokens_in: Column, tokens_out: Column) -> Column:
 def generate(requests: DataFrame, cache: DataFrame | None, writer: Writer, model: str = "offline", temperature: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(rows with answers, new cache entries).
 
-    Requests carry question and contexts.  Equal calls are made once; calls
-    found in the cache are not made again and are marked ``cached``.
+    Requests carry question and contexts.  Equal calls are made once, when this
+    is called; calls found in the cache are not made again and are marked ``cached``.
     """
     keyed = requests.withColumn("key", cache_key(model, temperature, F.col("question"), F.col("contexts")))
     once = keyed.select("key", prompt(F.col("question"), F.col("contexts")).alias("prompt")).dropDuplicates(["key"])
@@ -62,7 +63,8 @@ def generate(requests: DataFrame, cache: DataFrame | None, writer: Writer, model
             got.insert(0, "key", pdf["key"].to_numpy())
             yield got
 
-    made = once.mapInPandas(run, "key string, answer string, tokens_in long, tokens_out long, latency_ms double")
+    # a model may be paid and need not answer alike twice: new answers are written once and read back
+    made = checkpointed(once.mapInPandas(run, "key string, answer string, tokens_in long, tokens_out long, latency_ms double"))
     known = made.withColumn("cached", F.lit(False))
     if cache is not None:
         known = known.unionByName(cache.select("key", "answer", "tokens_in", "tokens_out", "latency_ms").withColumn("cached", F.lit(True)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql.window import Window
 
 from evalweave.functions import text as T
 from evalweave.functions.stats import normal_quantile
-from evalweave.operators.providers import Writer
+from evalweave.operators.providers import Critic, Embedder, Writer
+from evalweave.session import checkpointed
 
 DIMS = ("context_relevance", "answer_faithfulness", "answer_relevance")
 # Fixed value: the judge's prompt.
@@ -88,6 +90,37 @@ def ppi(marks: DataFrame, labels: DataFrame, by: list[str], alpha: float = 0.05,
     return d.groupBy(*by).agg(F.avg(F.coalesce("_p", "_m")).alias("ares_composite"), F.avg("_lo").alias("ares_ci_lo"), F.avg("_hi").alias("ares_ci_hi"))
 
 
+def ragas(rows: DataFrame, critic: Critic, embedder: Embedder, by: list[str]) -> DataFrame:
+    """(by, ragas_faithfulness, ragas_answer_relevancy, ragas_context_relevancy) of rows with question, answer and contexts.
+
+    The critic gives statements, verdicts and questions, the embedder the
+    similarity of questions; the ratios are those of the three operators below.
+    A null question, answer or context counts as empty.
+    """
+    src = rows.select(*by, "question", "answer", "contexts")
+    types = dict(src.dtypes)
+    fields = "supported array<int>, useful array<int>, similar array<struct<similarity:double,noncommittal:int>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (statements, verdict, questions), embed = critic.load(), embedder.load()
+        for pdf in batches:
+            out = []
+            for *key, q, a, c in pdf.itertuples(index=False):
+                q, a, texts = q or "", a or "", [x or "" for x in (c if c is not None else [])]
+                asked = questions(a)
+                v = np.asarray(embed([q, *[x for x, _ in asked]]), float)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                alike = [{"similarity": float(x @ v[0]), "noncommittal": int(n)} for x, (_, n) in zip(v[1:], asked)]
+                out.append((*key, [verdict(s, "\n".join(texts)) for s in statements(a)], [verdict(q, x) for x in texts], alike))
+            yield pd.DataFrame(out, columns=[*by, "supported", "useful", "similar"])
+
+    got = checkpointed(src.mapInPandas(run, "".join(f"`{c}` {types[c]}, " for c in by) + fields))
+    a = faithfulness(got.select(*by, F.explode_outer("supported").alias("verdict")), by)
+    b = answer_relevancy(got.select(*by, F.explode_outer("similar").alias("_s")).select(*by, "_s.*"), by)
+    c = context_precision(got.select(*by, F.posexplode_outer("useful").alias("rank", "verdict")).withColumn("rank", F.col("rank") + 1), by)
+    return a.join(b, by, "left").join(c, by, "left")
+
+
 def faithfulness(verdicts: DataFrame, by: list[str]) -> DataFrame:
     """Supported statements over all statements; no statements give null."""
     return verdicts.groupBy(*by).agg(F.try_divide(F.sum(F.col("verdict").cast("double")), F.count("verdict")).alias("ragas_faithfulness"))

@@ -29,6 +29,11 @@ def sample_queries(queries: DataFrame, qrels: DataFrame, n: int, seed: int = 42)
     return judged_queries(queries, qrels).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def restrict(qrels: DataFrame, queries: DataFrame) -> DataFrame:
+    """The judgements of the given queries."""
+    return qrels.join(queries.select("dataset", "query_id").distinct(), ["dataset", "query_id"], "left_semi")
+
+
 def sample_ids_seeded(ids: list[str], n: int, rng: random.Random) -> set[str]:
     """Parity mode on the driver, for small id lists: the generator's own sample of the sorted ids."""
     ordered = sorted(ids)

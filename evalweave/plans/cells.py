@@ -74,12 +74,15 @@ def answers(runs: DataFrame, queries: DataFrame, chunks: DataFrame, exp: Experim
     return generation.generate(req, cache, writer)
 
 
-def summary(per_query: DataFrame, generated: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
-    """One row per cell: mean metrics, latency, cost and judge composite as far as given."""
+def summary(per_query: DataFrame, generated: DataFrame | None = None, marks: DataFrame | None = None, ragas: DataFrame | None = None) -> DataFrame:
+    """One row per cell: mean metrics, latency, cost, answer quality and judge composite as far as given."""
     by = ["dataset", "config_id", "chunking", "retrieval", "rerank"]
     out = ir.summarise(per_query, by)
     if generated is not None:
         out = out.join(generation.cost_summary(generated, ["dataset", "config_id"]), ["dataset", "config_id"], "left")
+    if ragas is not None:
+        names = [c for c in ragas.columns if c.startswith("ragas_")]
+        out = out.join(ragas.groupBy("dataset", "config_id").agg(*[F.avg(c).alias(c) for c in names]), ["dataset", "config_id"], "left")
     if marks is not None:
         out = out.join(judging.composite(marks, ["dataset", "config_id"]), ["dataset", "config_id"], "left")
     return out

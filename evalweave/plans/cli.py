@@ -1,8 +1,11 @@
 """Command line: run the cells of an experiment on a folder of tables, or analyse finished summaries.
 
-    python -m evalweave.plans.cli run --tables DIR --out DIR [--dataset D] [--config C] [--limit N]
+    python -m evalweave.plans.cli run (--tables DIR | --beir DIR) --out DIR [--dataset D] [--config C] [--limit N]
     python -m evalweave.plans.cli analyse --results DIR --out DIR
 
+``--beir`` is a folder of one data set; it is sampled, pooled and restricted as
+the settings say, and ``--limit`` takes queries in the order of the file.
+
 ``analyse`` reads the folder that ``run`` writes, or a folder of the reference:
 <dataset>/<config>/summary.json, retrieval and ares_raw per cell, and
 human_labels/<dataset>.csv.
@@ -16,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalweave.functions import text as T
 from evalweave.operators import judging, tables
-from evalweave.operators.providers import FirstSentence, HashedWords
+from evalweave.operators.providers import FirstSentence, HashedWords, OverlapCritic, OverlapJudge
 from evalweave.plans import analysis, cells
 from evalweave.session import checkpointed
 from evalweave.sources import files, settings
@@ -25,13 +29,20 @@ from evalweave.sources import files, settings
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     exp = settings.load_settings(args.settings) if args.settings else settings.default_experiment()
-    read = lambda n: spark.read.parquet(f"{args.tables}/{n}.parquet")
-    docs, queries, qrels = tables.current_corpus(read("corpus")), tables.current_queries(read("queries")), tables.current_qrels(read("qrels"))
+    if args.beir:
+        spec = next((x for x in exp.datasets if x.name == (args.dataset or x.name)), None)
+        if spec is None:
+            raise ValueError(f"the settings name no data set {args.dataset}")
+        data = files.load_dataset(spark, args.beir, spec, exp.seed)
+        docs, queries, qrels = data.corpus.withColumn("doc_text", T.document_text(F.col("title"), F.col("text"))), data.queries, data.qrels
+    else:
+        read = lambda n: spark.read.parquet(f"{args.tables}/{n}.parquet")
+        docs, queries, qrels = tables.current_corpus(read("corpus")), tables.current_queries(read("queries")), tables.current_qrels(read("qrels"))
     if args.dataset:
         docs, queries, qrels = (x.where(F.col("dataset") == args.dataset) for x in (docs, queries, qrels))
     if args.limit:
-        w = Window.partitionBy("dataset").orderBy("query_id")
-        queries = queries.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= args.limit).drop("_r")
+        place = "file_pos" if "file_pos" in queries.columns else "query_id"
+        queries = queries.withColumn("_r", F.row_number().over(Window.partitionBy("dataset").orderBy(place))).where(F.col("_r") <= args.limit).drop("_r")
     embedder = HashedWords()
     chunks = cells.make_chunks(docs, exp, embedder=embedder)
     runs = cells.all_runs(queries, chunks, exp, embedder)
@@ -46,12 +57,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     cache = files.read_or_empty(spark, f"{args.out}/cache", files.CACHE)
     generated, made = cells.answers(runs, queries, chunks, exp, FirstSentence(), cache)
     generated = checkpointed(generated)
-    marks = checkpointed(judging.judge(generated, FirstSentence()).select("dataset", "config_id", "query_id", *judging.DIMS))
+    marks = checkpointed(judging.judge(generated, OverlapJudge()).select("dataset", "config_id", "query_id", *judging.DIMS))
+    ragas = checkpointed(judging.ragas(generated, OverlapCritic(), embedder, ["dataset", "config_id", "query_id"]))
     files.write_cells(per_query, f"{args.out}/retrieval")
     files.write_cells(generated, f"{args.out}/generation")
     files.write_cells(marks, f"{args.out}/ares_raw")
+    files.write_cells(ragas, f"{args.out}/ragas")
     files.append_cache(made, f"{args.out}/cache")
-    files.write_summaries(cells.summary(per_query, generated, marks), args.out)
+    files.write_summaries(cells.summary(per_query, generated, marks, ragas), args.out)
 
 
 def analyse(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
@@ -74,8 +87,10 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     sub = p.add_subparsers(dest="what", required=True)
     r = sub.add_parser("run")
-    for x in ("--tables", "--out"):
-        r.add_argument(x, required=True)
+    r.add_argument("--out", required=True)
+    source = r.add_mutually_exclusive_group(required=True)
+    source.add_argument("--tables")
+    source.add_argument("--beir")
     for x in ("--dataset", "--config", "--settings"):
         r.add_argument(x)
     r.add_argument("--limit", type=int)

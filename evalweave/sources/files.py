@@ -12,6 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.operators import sampling
+from evalweave.sources.settings import DatasetSpec
+
 CORPUS = "_id string, title string, text string"
 QUERIES = "_id string, text string"
 QRELS = "`query-id` string, `corpus-id` string, score int"
@@ -37,11 +40,20 @@ def read_beir(spark: SparkSession, folder: str, split: str, name: str) -> BeirDa
     """A local BEIR folder: corpus.jsonl, queries.jsonl and qrels/<split>.tsv."""
     tag = F.lit(name).alias("dataset")
     corpus = spark.read.schema(CORPUS).json(f"{folder}/corpus.jsonl").select(tag, F.col("_id").alias("doc_id"), "title", "text")
-    queries = spark.read.schema(QUERIES).json(f"{folder}/queries.jsonl").select(tag, F.col("_id").alias("query_id"), "text")
+    # rows carry their place in the file, which Spark numbers in ascending order over the splits of one file
+    queries = spark.read.schema(QUERIES).json(f"{folder}/queries.jsonl").select(tag, F.col("_id").alias("query_id"), "text", F.monotonically_increasing_id().alias("file_pos"))
     qrels = spark.read.schema(QRELS).csv(f"{folder}/qrels/{split}.tsv", sep="\t", header=True).select(tag, F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"), F.col("score").alias("rel"))
     return BeirDataset(name, corpus, queries, qrels)
 
 
+def load_dataset(spark: SparkSession, folder: str, spec: DatasetSpec, seed: int = 42) -> BeirDataset:
+    """A BEIR folder as an experiment uses it: sampled judged queries, their judgements, and the pooled corpus."""
+    raw = read_beir(spark, folder, spec.split, spec.name)
+    queries = sampling.judged_queries(raw.queries, raw.qrels) if spec.n_queries is None else sampling.sample_queries(raw.queries, raw.qrels, spec.n_queries, seed)
+    qrels = sampling.restrict(raw.qrels, queries)
+    return BeirDataset(spec.name, sampling.pool_corpus(raw.corpus, qrels, spec.max_corpus, seed), queries, qrels)
+
+
 def read_summaries(spark: SparkSession, root: str) -> DataFrame:
     """One row per <root>/<dataset>/<config>/summary.json, with ``config_ord`` by data set and config."""
     s = spark.read.schema(SUMMARY).option("multiLine", True).json(f"{root}/*/*/summary.json")

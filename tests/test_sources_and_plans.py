@@ -83,7 +83,7 @@ def test_run_is_analysed(spark, make, tmp_path):
     }
     for k, v in tables.items():
         v.write.parquet(f"{tmp_path}/in/{k}.parquet")
-    args = dict(tables=f"{tmp_path}/in", out=f"{tmp_path}/r", settings=None, dataset=None, limit=None)
+    args = dict(tables=f"{tmp_path}/in", beir=None, out=f"{tmp_path}/r", settings=None, dataset=None, limit=None)
     cli.run(spark, argparse.Namespace(**args, config="fixed__bm25__none"))
     cli.run(spark, argparse.Namespace(**args, config="semantic__bm25__none"))
     assert {r.config_id for r in files.read_summaries(spark, f"{tmp_path}/r").collect()} == {"fixed__bm25__none", "semantic__bm25__none"}
@@ -100,12 +100,66 @@ def test_run_is_analysed(spark, make, tmp_path):
     out = cli.analyse(spark, argparse.Namespace(results=f"{tmp_path}/r", out=f"{tmp_path}/a", settings=str(exp)))
     tidy = {(r.dataset, r.config_id): r for r in out["tidy_config_scores"].collect()}
     assert len(tidy) == 5 and tidy["nq", "fixed__dense__none"].ares_composite == 0.25
-    # the offline judge marks 0 throughout, so the point is the mean label: (1 + 1 + 1/2) / 3
+    # the judged marks are shifted by the labels of the labelled queries
+    marks = {r.query_id: r for r in files.read_cells(spark, f"{tmp_path}/r", "ares_raw", files.MARKS).where("dataset = 'nq' and config_id = 'fixed__bm25__none'").collect()}
+    want = sum(sum(m[d] for m in marks.values()) / 6 + sum(lab - marks[q][d] for q, lab in (("q0", a), ("q1", b))) / 2 for d, a, b in (("context_relevance", 1, 1), ("answer_faithfulness", 1, 1), ("answer_relevance", 0, 1))) / 3
     r = tidy["nq", "fixed__bm25__none"]
-    assert abs(r.ares_composite - 2.5 / 3) < 1e-9 and abs(r.ares_composite - r.ares_ci_lo - 1.2815515655446004 * 0.5 / 3) < 1e-9
+    assert abs(r.ares_composite - want) < 1e-9 and r.ares_ci_lo < want < r.ares_ci_hi and sum(m.context_relevance for m in marks.values()) > 0
+    assert 0 <= r.ragas_faithfulness <= 1 and r.ragas_answer_relevancy is not None and r.ragas_context_relevancy is not None
     got = {(r.dataset, r.variable): r for r in out["variable_attribution"].collect()}
     assert got["nq", "chunking"].n == 6 and got["nq", "retrieval"].n == 1 and ("msmarco", "chunking") in got
-    assert "ragas_faithfulness" not in out["tidy_config_scores"].columns and out["framework_agreement"].count() == 2
+    assert tidy["nq", "fixed__dense__none"].ragas_faithfulness is None and out["framework_agreement"].count() == 6
+
+
+def test_the_writer_is_asked_once_per_prompt(make, tmp_path):
+    from evalweave.operators import generation
+
+    class Counting(FirstSentence):
+        """Notes every prompt in a file."""
+
+        def __init__(self, path):
+            self.path = path
+
+        def load(self):
+            write = FirstSentence.load(self)
+
+            def noted(prompts):
+                with open(self.path, "a") as f:
+                    f.write("x" * len(prompts))
+                return write(prompts)
+
+            return noted
+
+    req = make("query_id string, question string, contexts array<string>", *[(str(i), f"q{i % 3}", ["Yes it is. More."]) for i in range(9)])
+    rows, made = generation.generate(req, None, Counting(str(tmp_path / "n")))
+    assert rows.count() == 9 and made.count() == 3 and rows.agg({"tokens_out": "sum"}).first()[0] > 0
+    assert len((tmp_path / "n").read_text()) == 3
+
+
+def test_ragas(make):
+    from evalweave.operators import judging
+    from evalweave.operators.providers import HashedWords, OverlapCritic
+
+    rows = [("1", "who built the mill", "The mill was built by Arden. Pigs can surely fly.", ["In 1880 the mill was built by Arden.", "Other things."]), ("2", None, None, None), ("3", "why", "No", [None])]
+    got = {r.query_id: r for r in judging.ragas(make("query_id string, question string, answer string, contexts array<string>", *rows), OverlapCritic(), HashedWords(), ["query_id"]).collect()}
+    assert got["1"].ragas_faithfulness == 0.5 and got["1"].ragas_context_relevancy == 1.0 and 0 < got["1"].ragas_answer_relevancy < 1
+    assert got["2"].ragas_faithfulness is None and got["2"].ragas_context_relevancy == 0.0 and got["3"].ragas_answer_relevancy == 0.0
+
+
+def test_dataset_of_an_experiment(spark, tmp_path):
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text("".join(json.dumps({"_id": f"d{i}", "title": "", "text": f"Word{i} stands here."}) + "\n" for i in range(20)))
+    (tmp_path / "queries.jsonl").write_text("".join(json.dumps({"_id": f"q{9 - i}", "text": f"word{i}"}) + "\n" for i in range(10)))
+    (tmp_path / "qrels/test.tsv").write_text("query-id\tcorpus-id\tscore\n" + "".join(f"q{9 - i}\td{i}\t1\n" for i in range(8)))
+    d = files.load_dataset(spark, str(tmp_path), settings.DatasetSpec("nq", n_queries=5, max_corpus=9))
+    kept = {r.query_id for r in d.queries.collect()}
+    assert len(kept) == 5 and {r.query_id for r in d.qrels.collect()} == kept
+    assert d.corpus.count() == 9 and {r.doc_id for r in d.qrels.collect()} <= {r.doc_id for r in d.corpus.collect()}
+    exp = tmp_path / "s.json"
+    exp.write_text(json.dumps({"chunking": [{"name": "fixed"}], "retrieval": [{"name": "bm25"}], "rerank": [{"name": "none"}], "datasets": [{"name": "nq"}]}))
+    cli.main(["run", "--beir", str(tmp_path), "--out", str(tmp_path / "r"), "--dataset", "nq", "--limit", "3", "--settings", str(exp)])
+    got = files.read_cells(spark, str(tmp_path / "r"), "retrieval", files.METRICS).collect()
+    assert {r.query_id for r in got} == {"q9", "q8", "q7"} and all(r["nDCG@10"] == 1.0 for r in got)
 
 
 def test_full_queries_take_all_draws_and_entries(spark, make, tmp_path):
