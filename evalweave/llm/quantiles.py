@@ -230,31 +230,32 @@ def build_sketches(rows: DataFrame, group_cols: list[str], value_col: str = "val
 
 def merge_sketches(parts: DataFrame, group_cols: list[str], fan_in: int = 64) -> DataFrame:
     """One sketch per group; groups with very many parts are merged in two steps."""
-    types = dict(parts.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in group_cols)
+    if fan_in > 1:
+        some = parts.withColumn("_part", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).cast("int"))
+        parts = _folded(some, [*group_cols, "_part"]).drop("_part")
+    return _folded(parts, group_cols)
 
-    if fan_in <= 1:
-        return parts.groupBy(*group_cols).applyInPandas(_folder(list(group_cols)), f"{schema}, n long, n_left_out long, sketch binary")
-    names = [*group_cols, "_part"]
-    some = parts.withColumn("_part", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).cast("int"))
-    half = some.groupBy(*names).applyInPandas(_folder(names), f"{schema}, _part int, n long, n_left_out long, sketch binary")
-    return half.drop("_part").groupBy(*group_cols).applyInPandas(_folder(list(group_cols)), f"{schema}, n long, n_left_out long, sketch binary")
 
+def _folded(parts: DataFrame, names: list[str]) -> DataFrame:
+    """One sketch per group: each task holds one for every group it meets."""
+    types = dict(parts.dtypes)
 
-def _folder(names: list[str]):
-    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n, left = None, 0, 0
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
         for pdf in batches:
-            for data, a, b in zip(pdf["sketch"], pdf["n"], pdf["n_left_out"]):
+            keys = pdf[names].astype(object).where(pdf[names].notna(), None)
+            for key, data, n, left in zip(keys.itertuples(index=False, name=None), pdf["sketch"], pdf["n"], pdf["n_left_out"]):
                 s = RelativeSketch.load(bytes(data))
-                if total is None:
-                    total = s
+                if key not in held:
+                    held[key] = [s, int(n), int(left)]
                 else:
-                    total.merge(s)
-                n, left = n + int(a), left + int(b)
-        yield pd.DataFrame([(*key, n, left, total.dump())], columns=[*names, "n", "n_left_out", "sketch"])
+                    one = held[key]
+                    one[0].merge(s)
+                    one[1] += int(n)
+                    one[2] += int(left)
+        yield pd.DataFrame([(*key, n, left, s.dump()) for key, (s, n, left) in held.items()], columns=[*names, "n", "n_left_out", "sketch"])
 
-    return fold
+    return parts.repartition(*names).mapInPandas(fold, ", ".join(f"{c} {types[c]}" for c in names) + ", n long, n_left_out long, sketch binary")
 
 
 def read_percentiles(sketches: DataFrame, group_cols: list[str], ps: dict[str, float]) -> DataFrame:
