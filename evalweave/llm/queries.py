@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evalweave.functions.stats import joined_null_safe
 from evalweave.llm import langid, leakage, mixture, pairs, quantiles, splitting, stable_sample, truncation
@@ -108,6 +109,15 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p4_pieces_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per row over a limit: whether every piece is within the limits and the overlap, and the characters that the own parts cover."""
+    own = F.coalesce(F.lead("own_start").over(Window.partitionBy("table_name", "row_id").orderBy("piece_no")), F.col("stop"))
+    ps = _pieces(spark, d).where("n_pieces > 1").withColumn("_own", own - F.col("own_start"))
+    fits = (F.col("n_tokens") <= splitting.MAX_TOKENS) & (F.col("n_chars") <= splitting.MAX_CHARS) & (F.length("piece") == F.col("n_chars"))
+    overlap = splitting.token_count(F.substring("piece", F.lit(1), (F.col("own_start") - F.col("start")).cast("int"))) <= splitting.OVERLAP
+    return ps.groupBy("table_name", "row_id").agg(F.bool_and(fits & overlap).alias("within"), F.sum("_own").alias("covered"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "generation")
     lm, em = _models(spark, d, rows)
@@ -149,7 +159,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_sample, p1_sample_batches, p2_found, p2_source_report, p3_percentiles, p3_daily_percentiles, p3_days_joined, p3_error_check, p3_days_error_check, p4_found, p4_pieces, p5_found, p7_found, p7_item_report, p7_recall, p8_mixture, p8_report, p9_found, p9_segments)
+    for f in (p1_sample, p1_sample_batches, p2_found, p2_source_report, p3_percentiles, p3_daily_percentiles, p3_days_joined, p3_error_check, p3_days_error_check, p4_found, p4_pieces, p4_pieces_check, p5_found, p7_found, p7_item_report, p7_recall, p8_mixture, p8_report, p9_found, p9_segments)
 }
 
 _POS = "((('0x' || substr(md5(dataset || '|' || query_id), 1, 4))::BIGINT * 40503 + 12345) % 65536)"
@@ -175,6 +185,9 @@ ORACLE: dict[str, str] = {
         SELECT ds AS dataset, batch_no, count(*) AS n_rows, count(DISTINCT query_id) AS n_queries FROM k WHERE {_POS} < {_LISTED} GROUP BY ds, batch_no""",
     "p3_error_check": _BOUND,
     "p3_days_error_check": _BOUND,
+    "p4_pieces_check": f"""
+        SELECT 'corpus' AS table_name, load_id AS row_id, true AS within, length(text) AS covered FROM corpus WHERE {_TOKENS} > 384 OR length(text) > 2600
+        UNION ALL SELECT 'chunks', chunk_row, true, length(text) FROM chunks WHERE {_TOKENS} > 384 OR length(text) > 2600""",
     "p4_found": f"""
         SELECT 'corpus' AS table_name, load_id AS row_id FROM corpus WHERE {_TOKENS} > 384 OR length(text) > 2600
         UNION ALL SELECT 'chunks', chunk_row FROM chunks WHERE {_TOKENS} > 384 OR length(text) > 2600""",
