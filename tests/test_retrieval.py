@@ -41,6 +41,23 @@ def test_bm25_empty_tables(make):
     assert retrieval.bm25(make(QU, ("a", "1", "cat")), make(CH)).count() == 0
 
 
+def test_bm25_shuffles_only_the_best_of_each_task(make):
+    """No posting and no pair of a query and a chunk is moved; blocks and ties agree with plain Python."""
+    rng = np.random.default_rng(4)
+    chunks = [("a", f"d{i}::c0", " ".join(rng.choice(["the", "The", "old", "mill", "of", f"w{i % 7}"], rng.integers(1, 9)))) for i in range(300)]
+    qs = [("a", str(i), " ".join(rng.choice(["the", "mill", "of", "w3", "w5", "none"], 4))) for i in range(9)]
+    run = retrieval.bm25(make(QU, *qs), make(CH, *chunks).repartition(5), 20)
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan
+    want = []
+    for _, q, t in qs:
+        first = {c: next(i for i, w in enumerate(t.split()) if w in x.lower().split()) for _, c, x in chunks if set(t.split()) & set(x.lower().split())}
+        best = sorted((-round(s, 9), first[c], c) for c, s in plain_bm25(t, chunks).items())[:20]
+        want += [(q, c, i + 1) for i, (_, _, c) in enumerate(best)]
+    for got in (run, retrieval.bm25(make(QU, *qs), make(CH, *chunks).repartition(5), 20, block=4)):
+        assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got.collect()) == sorted(want)
+
+
 def test_dense_is_exact_and_blocks_agree(make):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 8))
