@@ -1,7 +1,9 @@
 import argparse
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalweave.operators.providers import FirstSentence
 from evalweave.plans import catalogue, cells, cli
@@ -73,6 +75,20 @@ def test_semantic_cells_follow_similarity(make):
         cells.make_chunks(docs, exp)
 
 
+def test_chunks_are_written_compressed(spark, make):
+    """The texts of all chunkers stand on disk at a part of their length, and are read back whole."""
+    text = " ".join(f"The old mill of town {i % 50} stands by the river." for i in range(400))
+    docs = make("dataset string, doc_id string, doc_text string", *[("a", f"d{i}", text) for i in range(50)])
+    cells.make_chunks(docs.limit(1), settings.default_experiment())  # names the folder
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p for p in folder.rglob("*") if p.is_file()}
+    chunks = cells.make_chunks(docs, settings.default_experiment())
+    on_disk = sum(p.stat().st_size for p in folder.rglob("*") if p.is_file() and p not in before)
+    back = {(r.doc_id, r.chunking): r.text for r in chunks.groupBy("doc_id", "chunking").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_ix", "text"))), lambda x: x["text"]), " ").alias("text")).collect()}
+    assert len(back) == 100 and set(back.values()) == {text}
+    assert 0 < on_disk < 0.5 * len(text) * 100
+
+
 def test_run_is_analysed(spark, make, tmp_path):
     t = "2024-01-01 00:00:00"
     both = [(d, i) for d in ("msmarco", "nq") for i in range(6)]
