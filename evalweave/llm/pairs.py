@@ -274,7 +274,8 @@ def judge(qs: list[str | None], ans: list[str | None], toks: list[float], lm: la
     best, conf, _ = lm.decode(texts)
     lang = [langid.LANGS[b] if langid.LETTER.search(t) else None for b, t in zip(best, texts)]
     out: list[str | None] = []
-    for i, (q, a, k) in enumerate(zip(qs, ans, toks)):
+    odds = em.log_odds_many(ans, toks, lang[1::2])
+    for i, (q, a) in enumerate(zip(qs, ans)):
         ql, al = lang[2 * i], lang[2 * i + 1]
         if is_empty(a):
             out.append("empty")
@@ -282,7 +283,7 @@ def judge(qs: list[str | None], ans: list[str | None], toks: list[float], lm: la
             out.append("copy")
         elif is_refusal(q, a):
             out.append("refusal")
-        elif em.is_cut(a, k, al):
+        elif odds[i] > em.threshold(al):
             out.append("truncated")
         elif q and other_language(q, texts[2 * i + 1], ql, al, conf[2 * i], conf[2 * i + 1]):
             out.append("language")

@@ -12,10 +12,13 @@ its language (the range is fitted per language).  A logistic model weighs the
 n-gram log-odds and these facts; its log-odds are held against a threshold per
 language and column.
 
-All is fitted on a bounded hash sample (``train_rows``) of a column's values and
-scored on every value, whole.  Weights and thresholds come from held-out values
-of the sample, which are cut at random places for the purpose: with the token
-count of the call, without one, at a limit, with and without debris.
+All is fitted on all values of a column, whole, in the cluster: every place of
+four fifths of the distinct values is counted, and weights and thresholds come
+from all values of the other fifth (parted by hash, since a weight must be
+fitted on values that its counts have not seen).  Those are cut at random places
+for the purpose: with the token count of the call, without one, at a limit, with
+and without debris.  Of the counts only contexts that some value or cut asks for
+are kept, which changes no score of these values.
 
 Defined results for odd input: null and blank values, placeholders and bare
 markup are not truncated (they are empty, not cut); a null or zero token count
@@ -27,7 +30,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +40,10 @@ from pyspark.sql import functions as F
 
 from evalweave.llm import langid
 from evalweave.llm.values import is_empty
-from evalweave.session import received, share
+from evalweave.session import received, share, written
 
 ORDERS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 17, 20, 24)
-EVERY = 5  # one place in so many is counted as "goes on"
+DEPTH = max(ORDERS)
 KAPPA = 3.0
 RIDGE = 2.0
 LONG = 80  # characters from which a token count tells a whole value from a part of it
@@ -97,16 +99,83 @@ def mask_tail(core: str, size: int = 64) -> str:
     return re.sub(r"\s+", " ", tail)
 
 
-def _keys(masked: str) -> list[int]:
-    r = masked[::-1]
-    return [xxhash.xxh64_intdigest(r[:n]) for n in ORDERS if n <= len(r)]
+BREAK = re.compile(NAME.pattern + r"|\s{2,}|[^\S ]")
+
+
+def contexts(core: str, places: list[int]) -> list[str]:
+    """The contexts of ``mask_tail`` before each of the places (in order), from one look at the text."""
+    text = re.sub(r"\d", "0", core)
+    found = BREAK.finditer(text)
+    built, at, m = "^", 0, next(found, None)
+    out = []
+    for i in places:
+        while m and m.end() <= i:
+            built = (built + text[at : m.start()] + (" §" + m[3][-2:] if m[3] else " "))[-DEPTH:]
+            at, m = m.end(), next(found, None)
+        if m and m.start() < i:
+            name = m.start() + len(m[1]) if m[3] else i
+            tail = built + text[at : m.start()] + " " + ("§" + text[name + 1 : i][-2:] if i > name + 1 else text[name:i])
+        else:
+            tail = built + text[max(at, i - DEPTH) : i] if i - at < DEPTH else text[i - DEPTH : i]
+        if tail[0] == "^" and (i > 64 or tail[1:2].isupper() and core[:i].isalpha()):
+            tail = mask_tail(core[:i])
+        out.append(tail[-DEPTH:])
+    return out
+
+
+def _hashed(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the last n characters of each context, for each order n; and how long each context is."""
+    sizes = np.fromiter(map(len, some), np.int64, len(some))
+    codes = np.frombuffer("".join([c.rjust(DEPTH, "\0") for c in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), DEPTH)
+    h = np.full(len(some), 0x9E3779B97F4A7C15, np.uint64)
+    keys = np.empty((len(ORDERS), len(some)), np.uint64)
+    for n in range(DEPTH):
+        h = (h ^ codes[:, DEPTH - 1 - n].astype(np.uint64)) * np.uint64(0x100000001B3D4F95)
+        h ^= h >> np.uint64(29)
+        if n + 1 in ORDERS:
+            keys[ORDERS.index(n + 1)] = h
+    return keys, sizes
+
+
+class Counts:
+    """How often a text ends and goes on, for known contexts: sorted hashes of each order."""
+
+    def __init__(self, asked: list[np.ndarray]):
+        self.asked = asked
+        self.end = [np.zeros(len(a)) for a in asked]
+        self.on = [np.zeros(len(a)) for a in asked]
+        self.total = [0.0, 0.0]  # ends and places where texts go on, known or not
+
+    def add(self, some: list[str], weight: np.ndarray | None = None) -> None:
+        """Contexts in which texts go on, or end so often as ``weight`` says."""
+        if not some:
+            return
+        self.total[weight is None] += len(some) if weight is None else float(weight.sum())
+        keys, sizes = _hashed(some)
+        left = np.arange(len(some))
+        for j, n in enumerate(ORDERS):
+            # a context that is not known by its last n characters is not known by more of them
+            left = left[sizes[left] >= n]
+            if not len(left) or not len(self.asked[j]):
+                return
+            k = keys[j][left]
+            at = np.minimum(np.searchsorted(self.asked[j], k), len(self.asked[j]) - 1)
+            same = self.asked[j][at] == k
+            left, at = left[same], at[same]
+            to = self.on if weight is None else self.end
+            to[j] += np.bincount(at, None if weight is None else weight[left], len(to[j]))
+
+
+def known_contexts(some: list[str]) -> list[np.ndarray]:
+    keys, sizes = _hashed(some)
+    return [np.unique(keys[j][sizes >= n]) for j, n in enumerate(ORDERS)]
 
 
 # Weights of the features (see ``features``) before any fit, and what a fit is drawn to where it has little to go by.
 WEIGHTS = np.array([-1.5, 1.0, 4.0, 1.0, 2.0, 5.0, 7.0, 5.0, 1.0, -2.0, -9.0, -5.0, 1.0])
 PRIOR = 0.08  # share of cut values for which weights and thresholds are balanced
 MOST = 8  # times that a repeated value counts in the fit
-HELD_OUT = 5  # one sample value in so many is kept from the counts, for weights and thresholds
+HELD_OUT = 5  # one value in so many is kept from the counts, for weights and thresholds
 # Debris as it is left on values that are cut for the fit.
 BREAKS = ("…", "...", " [...]", "\\", ",", " -", "<b", "&am", "**", " (")
 
@@ -118,9 +187,9 @@ class EndModel:
     """Counts of "ends here" and "goes on" by context, and the token range by language."""
 
     def __init__(self) -> None:
-        self.hash: list[np.ndarray] = []
-        self.end: list[np.ndarray] = []
-        self.on: list[np.ndarray] = []
+        self.hash: list[np.ndarray] = [np.zeros(0, np.uint64) for _ in ORDERS]
+        self.end: list[np.ndarray] = [np.zeros(0) for _ in ORDERS]
+        self.on: list[np.ndarray] = [np.zeros(0) for _ in ORDERS]
         self.base = (1.0, 80.0)
         self.rates: dict[str, tuple[float, float]] = {}
         self.weights = WEIGHTS
@@ -129,103 +198,91 @@ class EndModel:
         self.sizes: set[int] = set()  # lengths at which fields were cut
 
     def fit(self, values: list[tuple], tokens: dict[int, int] | None = None, sizes: dict[int, int] | None = None) -> EndModel:
-        """values: (text, tokens or None, language or None, rows = 1); tokens, sizes: counts by token count and by length of all values without a final mark."""
+        """Fit here on values: (text, tokens or None, language or None, rows = 1); tokens, sizes: counts by token count and by length of all values without a final mark."""
         by: dict[str, list[float]] = {}
         tops: dict[int, int] = {}
         lengths: dict[int, int] = {}
-        cores = []
         values = [(*v, 1)[:4] for v in values]
         for t, tok, lang, _ in values:
-            core, hard, soft, done = peel(t)
-            cores.append((core, hard or soft, done, tok, lang, len(t.strip())))
+            done = peel(t)[3]
             if not done:
                 lengths[len(t)] = lengths.get(len(t), 0) + 1
             if tok and tok > 0:
                 if not done:
                     tops[int(tok)] = tops.get(int(tok), 0) + 1
-                if done and not hard and len(core) >= 80:
-                    by.setdefault(lang or "", []).append(tok / len(t.strip()))
+                if (rate := token_rate(t, tok)) is not None:
+                    by.setdefault(lang or "", []).append(rate)
         everything = sorted(x for v in by.values() for x in v)
         if everything:
-            lo, hi = np.quantile(everything, [0.01, 0.99])
-            self.rates[""] = (float(lo), float(hi))
-            for lang, v in by.items():
-                if len(v) >= 30:
-                    self.rates[lang] = tuple(float(x) for x in np.quantile(v, [0.01, 0.985]))
+            quantiles = lambda v: tuple(float(x) for x in np.quantile(v, [0.01, 0.99, 0.985]))
+            self.set_rates(quantiles(everything), {la: (len(v), quantiles(v)) for la, v in by.items()})
         self.caps, self.sizes = piles(tokens or tops, 32), piles(sizes or lengths, 64)
-        ends = [array("Q") for _ in ORDERS]
-        ons = [array("Q") for _ in ORDERS]
-
-        def add(to: list[array], core: str) -> None:
-            for j, k in enumerate(_keys(mask_tail(core))):
-                to[j].append(k)
-
-        kept = [times > 1 or xxhash.xxh32_intdigest(t, 1) % HELD_OUT > 0 for t, _, _, times in values]
+        kept = [not held_out(t, times) for t, _, _, times in values]
         if sum(kept) < 50:  # too few to hold any out
             kept = [True] * len(kept)
-        for (core, debris, done, tok, lang, size), times, counted in zip(cores, (v[3] for v in values), kept):
-            if not counted:
-                continue
-            at = 0
+        counted, rest = [v for v, own in zip(values, kept) if own], [v for v, own in zip(values, kept) if not own]
+        ends, weights, ons = self.occurrences(counted)
+        counts = Counts(known_contexts(ends + ons) if ends + ons else self.hash)
+        counts.add(ends, weights), counts.add(ons)
+        self.set_counts(counts)
+        seen = self.seen(rest)
+        self.set_weights(self.weighed(rest, *shares(seen)))
+        return self
+
+    def set_rates(self, whole: tuple[float, float, float], by: dict[str, tuple[int, tuple[float, float, float]]]) -> None:
+        """From the 0.01, 0.99 and 0.985 quantiles of the tokens a character: of all, and by language with their number."""
+        self.rates = {"": whole[:2]} | {la: (q[0], q[2]) for la, (n, q) in by.items() if la and n >= 30}
+
+    def occurrences(self, values: list[Value]) -> tuple[list[str], np.ndarray, list[str]]:
+        """(contexts in which the values end, how often, contexts in which they go on)."""
+        ends, weights, ons = [], [], []
+        for t, tok, lang, times in values:
+            core, hard, soft, done = peel(t)
+            at, places = 0, []
             for m in re.finditer(r"[.!?](?=\s)|\n", core):
                 if m.start() > at + 1 and core[at : m.start()].strip():
-                    add(ends, core[: m.start()].rstrip())
+                    places.append(len(core[: m.start()].rstrip()))
                 at = m.end()
             whole = core.rstrip(FINAL)
-            fits = tok is not None and tok > 0 and tok not in self.caps and len(core) not in self.sizes and self.excess(size, tok, lang) <= 0
-            if whole and not debris and (done or fits):
-                for _ in range(min(times, MOST)):
-                    add(ends, whole)
-            first = xxhash.xxh32_intdigest(core) % EVERY
-            for i in range(1 + first, len(core), EVERY):
-                if core[i] not in ".!?\n" and core[i - 1] not in ".!?\n" and not core[i - 1].isspace():
-                    add(ons, core[:i])
-        n_end = max(1, len(ends[0]))
-        n_on = max(1, len(ons[0])) * EVERY
-        self.base = (float(n_end), float(n_on))
-        for j in range(len(ORDERS)):
-            h = np.frombuffer(ends[j] + ons[j], np.uint64) if len(ends[j]) + len(ons[j]) else np.zeros(0, np.uint64)
-            w = np.concatenate([np.ones(len(ends[j])), np.zeros(len(ons[j]))])
-            if not len(h):
-                self.hash.append(np.zeros(0, np.uint64)), self.end.append(np.zeros(0)), self.on.append(np.zeros(0))
-                continue
-            u, inv, cnt = np.unique(h, return_inverse=True, return_counts=True)
-            e = np.bincount(inv, weights=w, minlength=len(u))
-            keep = (cnt >= 2) | (ORDERS[j] <= 3)
-            self.hash.append(u[keep])
-            self.end.append(e[keep].astype(np.float32))
-            self.on.append(((cnt - e)[keep] * EVERY).astype(np.float32))
-        self._fit_weights([v for v, counted in zip(values, kept) if not counted])
-        return self
-
-    def _fit_weights(self, values: list[Value]) -> None:
-        """Weights by logistic regression, and thresholds per language, on whole values and cuts of them."""
-        rows, cut, langs, weight, doubtful = [], [], [], [], []
-
-        def add(text: str, tok: float | None, lang: str | None, is_cut: bool, w: float, limit: int | None = None) -> None:
-            f = self.features(text, tok, lang)
-            if f is not None:
-                if limit:
-                    f[limit] = 1.0
-                rows.append(f), cut.append(is_cut), langs.append(lang or ""), weight.append(w)
-
-        whole = []
+            fits = tok is not None and tok > 0 and tok not in self.caps and len(core) not in self.sizes and self.excess(len(t.strip()), tok, lang) <= 0
+            weights += [1] * len(places)
+            if whole and not (hard or soft) and (done or fits):
+                places.append(len(whole))
+                weights.append(min(times, MOST))
+            ends += contexts(core, places)
+            ons += contexts(core, [i for i in range(1, len(core)) if core[i] not in ".!?\n" and core[i - 1] not in ".!?\n" and not core[i - 1].isspace()])
+        return ends, np.array(weights, float), ons
+
+    def set_counts(self, counts: Counts) -> None:
+        self.base = (max(1.0, counts.total[0]), max(1.0, counts.total[1]))
+        for j, n in enumerate(ORDERS):
+            keep = counts.end[j] + counts.on[j] >= (1 if n <= 3 else 2)
+            self.hash[j], self.end[j], self.on[j] = counts.asked[j][keep], counts.end[j][keep].astype(np.float32), counts.on[j][keep].astype(np.float32)
+
+    def _whole(self, values: list[Value]) -> Iterator[tuple]:
+        """(text, core, tokens or None, language, rows, ends with a mark) of the values that don't look cut."""
         for t, tok, lang, times in values:
             core, hard, _, done = peel(t)
             known = tok is not None and tok > 0
-            if not t.strip() or not done and (hard or len(t) in self.sizes or known and (tok in self.caps or self.excess(len(t.strip()), tok, lang) > 0)):
-                continue  # may be cut itself
-            whole.append((t, core, tok if known else None, lang, times, done))
-        n_done = max(1, sum(v[4] for v in whole if v[5]))
-        bare = sum(v[4] for v in whole if not v[5] and len(v[0]) >= LONG) / n_done  # how often whole values go without a mark
-        unknown = max(0.05, sum(v[2] is None for v in whole) / max(1, len(whole)))
-        for t, core, tok, lang, times, done in whole:
-            add(t, tok, lang, False, times)
+            if t.strip() and (done or not (hard or len(t) in self.sizes or known and (tok in self.caps or self.excess(len(t.strip()), tok, lang) > 0))):
+                yield t, core, tok if known else None, lang, times, done
+
+    def seen(self, values: list[Value]) -> np.ndarray:
+        """Of the values that don't look cut: rows with a final mark, rows of long ones without, values without a token count, values."""
+        out = np.zeros(4)
+        for t, _, tok, _, times, done in self._whole(values):
+            out += (times * done, times * (not done and len(t) >= LONG), tok is None, 1)
+        return out
+
+    def made(self, values: list[Value], bare: float = 1.0, unknown: float = 1.0) -> list[tuple]:
+        """What weights are fitted on: (text, tokens, language, is cut, weight, feature of a limit or None, doubtful)."""
+        out = []
+        for t, core, tok, lang, times, done in self._whole(values):
+            out.append((t, tok, lang, False, float(times), None, not done))  # a doubtful one joins the whole ones once a first fit takes it for one
             if not done:
-                doubtful.append(len(rows) - 1)  # joins the whole ones once a first fit takes it for one
                 continue
             rng = np.random.default_rng(xxhash.xxh32_intdigest(t))
-            add(core.rstrip(FINAL), tok, lang, False, bare * times)
+            out.append((core.rstrip(FINAL), tok, lang, False, bare * times, None, False))
             places = [i for i in range(max(8, len(core) // 5), len(core) - 3) if core[i - 1] not in FINAL and core[i] not in FINAL]
             # cut later, so that the count of the call stands; without a count; at a field's limit; at a call's limit
             for w, tells, limit in ((1.0, True, None), (unknown, False, None), (0.2 * bool(self.sizes), rng.random() > unknown, 5), (0.2 * bool(self.caps and tok), None, 6)):
@@ -233,10 +290,28 @@ class EndModel:
                 if at and w:
                     piece = core[: rng.choice(at)]
                     own = tok if tells else float(max(1, round(tok * len(piece) / len(core)))) if tells is None else None
-                    add(piece + (BREAKS[rng.integers(len(BREAKS))] if rng.random() < 0.25 else ""), own, lang, True, w, limit)
-        y, x, la, given = np.array(cut, float), np.array(rows), np.array(langs), np.array(weight)
-        unsure = np.isin(np.arange(len(rows)), doubtful)
-        if y.sum() < 50 or (1 - y)[~unsure].sum() < 50:
+                    out.append((piece + (BREAKS[rng.integers(len(BREAKS))] if rng.random() < 0.25 else ""), own, lang, True, w, limit, False))
+        return out
+
+    def weighed(self, values: list[Value], bare: float, unknown: float) -> dict[tuple, np.ndarray]:
+        """Weight and number by (language, is cut, doubtful, *features) of what is made of the values; equal ones together, features to 1/32."""
+        cases = self.made(values, bare, unknown)
+        out: dict[tuple, np.ndarray] = {}
+        for (_, _, lang, cut, w, limit, doubtful), f in zip(cases, self.features_many(*([c[i] for c in cases] for i in range(3)))):
+            if f is not None:
+                if limit:
+                    f[limit] = 1.0
+                key = (lang or "", cut, doubtful, *[round(32 * x) for x in f])
+                out[key] = out.get(key, 0.0) + np.array([w, 1.0])
+        return out
+
+    def set_weights(self, weighed: dict[tuple, np.ndarray]) -> None:
+        """Weights by logistic regression, and thresholds per language, on whole values and cuts of them."""
+        keys = sorted(weighed)
+        la, y, unsure = (np.array([k[i] for k in keys], kind) for i, kind in enumerate((object, bool, bool)))
+        x, y = np.array([k[3:] for k in keys], float) / 32, y.astype(float)
+        given, n = np.array([weighed[k] for k in keys]).reshape(-1, 2).T
+        if not keys or (n * y).sum() < 50 or (n * (1 - y))[~unsure].sum() < 50:
             return
         counts = ~unsure
         for _ in range(2):
@@ -245,9 +320,9 @@ class EndModel:
             self.weights = logistic(x, y, w, WEIGHTS)
             score = x @ self.weights
             self.thresholds = {"": best_threshold(score, y, w)}
-            for one in set(langs):
+            for one in set(la):
                 at = la == one
-                if y[at].sum() >= 200 and (1 - y[at]).sum() >= 100:
+                if (n * y)[at].sum() >= 200 and (n * (1 - y))[at].sum() >= 100:
                     self.thresholds[one] = best_threshold(score[at], y[at], w[at])
             counts = ~unsure | (score <= np.array([self.threshold(z) for z in la]))
 
@@ -261,20 +336,25 @@ class EndModel:
             return 0.0
         return math.log((tokens + 1e-9) / (size * rate[1] + 1.5))
 
-    def goes_on(self, core: str) -> float:
-        """Log-odds of "goes on" against "ends" given the final context, without the prior of either."""
-        p = self.base[0] / (self.base[0] + self.base[1])
-        for j, k in enumerate(_keys(mask_tail(core))):
-            h = self.hash[j]
-            at = int(np.searchsorted(h, np.uint64(k)))
-            if at >= len(h) or h[at] != k:
-                break
-            e, c = float(self.end[j][at]), float(self.on[j][at])
-            p = (e + KAPPA * p) / (e + c + KAPPA)
-        p = min(max(p, 1e-7), 1 - 1e-7)
-        return math.log((1 - p) / p) - math.log(self.base[1] / self.base[0])
-
-    def features(self, text: str | None, tokens: float | None, lang: str | None) -> list[float] | None:
+    def goes_on(self, cores: list[str]) -> np.ndarray:
+        """Log-odds of "goes on" against "ends" given each final context, without the prior of either."""
+        p = np.full(len(cores), self.base[0] / (self.base[0] + self.base[1]))
+        if cores:
+            keys, sizes = _hashed([mask_tail(c)[-DEPTH:] for c in cores])
+            left = np.arange(len(cores))
+            for j, n in enumerate(ORDERS):
+                left = left[sizes[left] >= n]
+                if not len(left) or not len(self.hash[j]):
+                    break
+                at = np.minimum(np.searchsorted(self.hash[j], keys[j][left]), len(self.hash[j]) - 1)
+                same = self.hash[j][at] == keys[j][left]
+                left, at = left[same], at[same]
+                e, c = self.end[j][at].astype(float), self.on[j][at].astype(float)
+                p[left] = (e + KAPPA * p[left]) / (e + c + KAPPA)
+        p = np.clip(p, 1e-7, 1 - 1e-7)
+        return np.log((1 - p) / p) - math.log(self.base[1] / self.base[0])
+
+    def features_many(self, texts: list[str | None], tokens: list[float | None], langs: list[str | None]) -> list[list[float] | None]:
         """What speaks for and against a cut; None for values without text.
 
         In order: one; n-gram log-odds of the final context; hard and soft
@@ -282,31 +362,49 @@ class EndModel:
         up; a surplus of tokens, and how large; tokens that fit a long value, a
         short one; a final mark; a final mark under a surplus.
         """
-        if is_empty(text):
-            return None
-        core, hard, soft, done = peel(text)
-        if not re.search(r"[^\W_]", core):
-            return None
-        known = tokens is not None and tokens == tokens and tokens > 0
-        size = len(text.strip())
-        x = self.excess(size, tokens, lang) if known else 0.0
-        on = max(-9.0, min(9.0, self.goes_on(core.rstrip(FINAL))))
-        over = x > 0.03
-        return [
-            1.0, on if not done or over else 0.0, float(hard), float(soft and not hard), float(not done and text[-1] == " " and text[0] != " "),
-            float(not done and len(text) in self.sizes), float(not done and known and tokens in self.caps),
-            float(over and not done), min(6.0, 25 * x) if over and not done else 0.0, float(known and x <= 0 and size >= LONG), float(known and x <= 0 and size < LONG), float(done), min(6.0, 10 * x) if over and done else 0.0,
-        ]
+        peeled = [None if is_empty(t) else peel(t) for t in texts]
+        at = [i for i, x in enumerate(peeled) if x and re.search(r"[^\W_]", x[0])]
+        out: list[list[float] | None] = [None] * len(texts)
+        for i, on in zip(at, np.clip(self.goes_on([peeled[i][0].rstrip(FINAL) for i in at]), -9.0, 9.0).tolist()):
+            text, tok, (_, hard, soft, done) = texts[i], tokens[i], peeled[i]
+            known = tok is not None and tok == tok and tok > 0
+            size = len(text.strip())
+            x = self.excess(size, tok, langs[i]) if known else 0.0
+            over = x > 0.03
+            out[i] = [
+                1.0, on if not done or over else 0.0, float(hard), float(soft and not hard), float(not done and text[-1] == " " and text[0] != " "),
+                float(not done and len(text) in self.sizes), float(not done and known and tok in self.caps),
+                float(over and not done), min(6.0, 25 * x) if over and not done else 0.0, float(known and x <= 0 and size >= LONG), float(known and x <= 0 and size < LONG), float(done), min(6.0, 10 * x) if over and done else 0.0,
+            ]
+        return out
+
+    def log_odds_many(self, texts: list[str | None], tokens: list[float | None], langs: list[str | None]) -> list[float]:
+        """Log-odds that each value is cut off, to be held against ``threshold``; -99 without text."""
+        return [-99.0 if f is None else float(np.dot(self.weights, f)) for f in self.features_many(texts, tokens, langs)]
 
     def log_odds(self, text: str | None, tokens: float | None, lang: str | None) -> float:
-        """Log-odds that a value is cut off, to be held against ``threshold``; -99 without text."""
-        f = self.features(text, tokens, lang)
-        return -99.0 if f is None else float(np.dot(self.weights, f))
+        return self.log_odds_many([text], [tokens], [lang])[0]
 
     def is_cut(self, text: str | None, tokens: float | None, lang: str | None) -> bool:
         return self.log_odds(text, tokens, lang) > self.threshold(lang)
 
 
+def token_rate(text: str, tokens: float | None) -> float | None:
+    """Tokens a character of a long value with a final mark."""
+    core, hard, _, done = peel(text)
+    return tokens / len(text.strip()) if tokens and tokens > 0 and done and not hard and len(core) >= LONG else None
+
+
+def held_out(text: str, times: int) -> bool:
+    """Whether a value is kept from the counts, for weights and thresholds; repeated ones are not."""
+    return times == 1 and xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"), 1) % HELD_OUT == 0
+
+
+def shares(seen: np.ndarray) -> tuple[float, float]:
+    """How often whole values go without a mark, and without a token count."""
+    return seen[1] / max(1, seen[0]), max(0.05, seen[2] / max(1, seen[3]))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Weights of a logistic model of y, drawn to ``start``, by Newton steps that are halved until they help."""
 
@@ -354,25 +452,99 @@ def source_column(col: Column) -> Column:
     return F.nullif(F.regexp_replace(t, r"[\s\p{IsWhite_Space}_-]+", "_"), F.lit(""))
 
 
-def fit_end_model(rows: DataFrame, lang_model: langid.EcocModel, text_col: str = "answer", tokens_col: str | None = "tokens_out", train_rows: int = 5000) -> EndModel:
-    """Fit on about ``train_rows`` values chosen by hash; each gives at most its last 4,000 characters to the fit."""
-    n = rows.where(F.length(text_col) > 0).count()
-    if not n:
-        return EndModel().fit([])
+def fit_end_model(rows: DataFrame, lang_model: langid.EcocModel, text_col: str = "answer", tokens_col: str | None = "tokens_out") -> EndModel:
+    """Fit on all values of the column, for scoring them.
+
+    The distinct values are written once, with language; passes over them count
+    in the cluster.  The driver gets what the model is made of: the contexts
+    that are asked for with their counts, and weights by equal features.
+    """
+    spark = rows.sparkSession
     tok = F.col(tokens_col).cast("double") if tokens_col else F.lit(None).cast("double")
-    pick = rows.select(F.col(text_col).alias("t"), tok.alias("k")).where(F.length("t") > 0)
-    pick = pick.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(min(1.0, train_rows / n) * 1_000_000)).select(F.col("t").substr(F.greatest(F.lit(1), F.length("t") - 3999), F.lit(4000)).alias("t"), F.length("t").alias("n"), "k").groupBy("t", "n", "k").agg(F.count("*").alias("times"))
-    got = pick.toPandas().sort_values(["t", "k"], kind="stable")
-    segs = langid.segment_texts(got["t"].tolist(), lang_model)
-    langs = [max(s, key=lambda x: x["n_words"])["lang"] if s else None for s in segs]
-    open_end = rows.where((F.length(text_col) > 0) & ~F.col(text_col).rlike(r"[.!?][\s\]\"'”’»)*\d\[]*$"))
+    rows = rows.where(F.length(text_col) > 0)
+    weights = spark.sparkContext.broadcast(lang_model.weights)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lm = langid.EcocModel(weights.value)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo : lo + 500]
+                yield part.assign(lang=main_langs(part["t"].tolist(), lm), rate=[token_rate(t, k) for t, k in zip(part["t"], part["k"])])
+
+    distinct = rows.select(F.col(text_col).alias("t"), tok.alias("k")).groupBy("t", "k").agg(F.count("*").alias("times"))
+    values = written(distinct.mapInPandas(told, "t string, k double, times bigint, lang string, rate double"))
+    open_end = rows.where(~F.col(text_col).rlike(r"[.!?][\s\]\"'”’»)*\d\[]*$"))
     sizes = {r["v"]: r["count"] for r in open_end.groupBy(F.length(text_col).alias("v")).agg(F.countDistinct(F.xxhash64(text_col)).alias("count")).where("count >= 5").collect()}
     tokens = {r["v"]: r["count"] for r in open_end.groupBy(tok.cast("int").alias("v")).agg(F.countDistinct(F.xxhash64(text_col)).alias("count")).where("count >= 5 and v > 0").collect()}
-    return EndModel().fit(
-        [(t, None if k != k or n > 4000 else float(k), la, min(times, MOST)) for t, n, k, la, times in zip(got["t"], got["n"], got["k"], langs, got["times"])],
-        tokens,
-        sizes,
-    )
+    model = EndModel()
+    model.caps, model.sizes = piles(tokens, 32), piles(sizes, 64)
+    got = values.where("rate is not null").rollup("lang").agg(F.grouping("lang").alias("all"), F.count("*").alias("n"), F.percentile("rate", F.array(*[F.lit(x) for x in (0.01, 0.99, 0.985)])).alias("q")).collect()
+    for r in got:
+        if r["all"] and r["n"]:
+            model.set_rates(tuple(r["q"]), {x["lang"] or "": (x["n"], tuple(x["q"])) for x in got if not x["all"]})
+    parts = lambda pdf: ([(t, None if k != k else float(k), la, int(min(n, MOST))) for t, k, la, n in zip(part["t"], part["k"], part["lang"], part["times"])] for part in (pdf.iloc[lo : lo + 500] for lo in range(0, len(pdf), 500)))
+    rest = lambda vs: [v for v in vs if held_out(v[0], v[3])]
+
+    ready = share(spark, model)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, total, seen, known = received(ready), np.zeros(2), np.zeros(4), [np.zeros(0, np.uint64)] * len(ORDERS)
+        for pdf in batches:
+            ends: set[str] = set()
+            for vs in parts(pdf):
+                own = rest(vs)
+                total += (len(vs) - len(own), len(own))
+                seen += m.seen(own)
+                ends.update(mask_tail(peel(t)[0].rstrip(FINAL))[-DEPTH:] for t in [*(v[0] for v in vs), *(c[0] for c in m.made(own))])
+            known = [np.union1d(a, b) for a, b in zip(known, known_contexts(sorted(ends)))]
+        yield pd.DataFrame({"j": -1, "key": range(6), "n": [*total, *seen]})
+        for j, a in enumerate(known):
+            yield pd.DataFrame({"j": j, "key": a.view(np.int64), "n": 0.0})
+
+    got = values.mapInPandas(ask, "j int, key bigint, n double").groupBy("j", "key").agg(F.sum("n").alias("n")).toPandas()
+    sums = got[got["j"] < 0].set_index("key")["n"].reindex(range(6), fill_value=0.0).to_numpy()
+    hold = sums[0] >= 50  # else too few to hold any out
+    asked = share(spark, [np.sort(got["key"][got["j"] == j].to_numpy(np.int64).view(np.uint64)) for j in range(len(ORDERS))])
+    del got
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, counts = received(ready), Counts(received(asked))
+        for pdf in batches:
+            for vs in parts(pdf):
+                ends, often, ons = m.occurrences([v for v in vs if not hold or not held_out(v[0], v[3])])
+                counts.add(ends, often), counts.add(ons)
+        yield pd.DataFrame({"j": [-1], "at": [0], "e": [counts.total[0]], "o": [counts.total[1]]})
+        for j in range(len(ORDERS)):
+            at = np.flatnonzero(counts.end[j] + counts.on[j])
+            yield pd.DataFrame({"j": j, "at": at, "e": counts.end[j][at], "o": counts.on[j][at]})
+
+    got = values.mapInPandas(count, "j int, at int, e double, o double").groupBy("j", "at").agg(F.sum("e").alias("e"), F.sum("o").alias("o")).toPandas()
+    counts = Counts(received(asked))
+    counts.total = got.loc[got["j"] < 0, ["e", "o"]].sum().tolist()
+    for j in range(len(ORDERS)):
+        own = got[got["j"] == j]
+        counts.end[j][own["at"]], counts.on[j][own["at"]] = own["e"], own["o"]
+    model.set_counts(counts)
+    del got, counts
+    if hold:
+        fitted, (bare, unknown) = share(spark, model), shares(sums[2:])
+        names = ["lang", "cut", "doubtful", *[f"f{i}" for i in range(len(WEIGHTS))]]
+
+        def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m, out = received(fitted), {}
+            for pdf in batches:
+                for vs in parts(pdf):
+                    for key, w in m.weighed(rest(vs), bare, unknown).items():
+                        out[key] = out.get(key, 0.0) + w
+            if out:
+                yield pd.DataFrame([(*key, *w) for key, w in out.items()], columns=[*names, "w", "n"])
+
+        got = values.mapInPandas(weigh, "lang string, cut boolean, doubtful boolean, " + ", ".join(f"{c} int" for c in names[3:]) + ", w double, n double").groupBy(*names).agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas()
+        # rounded, since the order in which a cluster adds is not fixed
+        model.set_weights({tuple(r[:-2]): np.array([round(r[-2], 6), r[-1]]) for r in got[[*names, "w", "n"]].itertuples(index=False, name=None)})
+        fitted.unpersist()
+    ready.unpersist(), asked.unpersist()
+    return model
 
 
 def score_truncation(
@@ -393,7 +565,7 @@ def score_truncation(
                 part = pdf.iloc[lo : lo + 500]
                 texts = [t if isinstance(t, str) else None for t in part["t"]]
                 langs = main_langs(texts, lm)
-                odds = [em.log_odds(t, k, la) for t, k, la in zip(texts, part["k"], langs)]
+                odds = em.log_odds_many(texts, part["k"].tolist(), langs)
                 res = part.drop(columns=["t", "k"]).copy()
                 res["lang"] = langs
                 res["log_odds"] = odds

@@ -168,6 +168,30 @@ def test_empty_table(make, lm):
     assert pairs.find_defects(df, lm, em).count() == 0
 
 
+def test_fit_counts_every_value(make, lm):
+    """Nothing is left out of a column of more than 5,000 values, and the cluster's model judges them as a fit of all of them here."""
+    rows = [(f"{t[:-1]} {i % 7} times." if t.endswith(".") else f"{t} {i}", k) for i, (t, k, _) in enumerate(cases(6500, 21))]
+    df = make("answer string, tokens_out double", *rows).repartition(3)
+    got = truncation.fit_end_model(df, lm)
+    times = {}
+    for r in rows:
+        times[r] = times.get(r, 0) + 1
+    values = [(t, k, la, n) for ((t, k), n), la in zip(times.items(), truncation.main_langs([t for t, _ in times], lm))]
+    want = truncation.EndModel().fit(values)
+    want.caps, want.sizes = got.caps, got.sizes
+    counted = [v for v in values if not truncation.held_out(v[0], v[3])]
+    ends, often, ons = got.occurrences(counted)
+    assert len(values) > 6000 and got.base == (often.sum(), len(ons))
+    columns = [[v[i] for v in values[:500]] for i in range(3)]
+    if not (got.caps or got.sizes):
+        assert np.allclose(got.weights, want.weights, atol=1e-6) and np.allclose(got.log_odds_many(*columns), want.log_odds_many(*columns), atol=1e-6)
+
+
+def test_contexts_are_those_of_single_places():
+    t = "In 1990 Anna Maria Lund  moved to Old Town.\nThe Mill of Lunley\tstood Still. " * 3
+    assert truncation.contexts(t, list(range(1, len(t)))) == [truncation.mask_tail(t[:i])[-24:] for i in range(1, len(t))]
+
+
 def test_the_n_gram_model_is_needed(em):
     """Where no count tells of the call, cuts are found by their final context; without its weight they are lost."""
     got = [(t, cut) for t, _, cut in cases(600, 11)]
