@@ -99,6 +99,7 @@ def mask_tail(core: str, size: int = 64) -> str:
     return re.sub(r"\s+", " ", tail)
 
 
+INSIDE = re.compile(r"(?<=[^.!?\s])(?=[^.!?\n])")  # places at which a text goes on
 BREAK = re.compile(NAME.pattern + r"|\s{2,}|[^\S ]")
 
 
@@ -123,18 +124,38 @@ def contexts(core: str, places: list[int]) -> list[str]:
     return out
 
 
-def _hashed(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the last n characters of each context, for each order n; and how long each context is."""
-    sizes = np.fromiter(map(len, some), np.int64, len(some))
+def _hashes(some: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order n: its place, and the hash of the last n characters of each context. Send back which contexts to go on with."""
     codes = np.frombuffer("".join([c.rjust(DEPTH, "\0") for c in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), DEPTH)
     h = np.full(len(some), 0x9E3779B97F4A7C15, np.uint64)
-    keys = np.empty((len(ORDERS), len(some)), np.uint64)
-    for n in range(DEPTH):
-        h = (h ^ codes[:, DEPTH - 1 - n].astype(np.uint64)) * np.uint64(0x100000001B3D4F95)
+    left = np.arange(len(some))
+    for n in range(1, DEPTH + 1):
+        h = (h ^ codes[left, DEPTH - n]) * np.uint64(0x100000001B3D4F95)
         h ^= h >> np.uint64(29)
-        if n + 1 in ORDERS:
-            keys[ORDERS.index(n + 1)] = h
-    return keys, sizes
+        if n in ORDERS:
+            kept = yield ORDERS.index(n), h
+            left, h = left[kept], h[kept]
+
+
+def _looked_up(some: list[str], hashes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order: its place, the contexts that are known by so many characters, and where they stand in its sorted hashes.
+
+    A context that is not known by its last n characters is not known by more of them.
+    """
+    if not some:
+        return
+    sizes = np.fromiter(map(len, some), np.int64, len(some))
+    left = np.arange(len(some))
+    hashing = _hashes(some)
+    j, h = next(hashing)
+    while len(hashes[j]):
+        at = np.minimum(np.searchsorted(hashes[j], h), len(hashes[j]) - 1)
+        same = np.flatnonzero((hashes[j][at] == h) & (sizes[left] >= ORDERS[j]))
+        left = left[same]
+        yield j, left, at[same]
+        if not len(left) or j + 1 == len(ORDERS):
+            return
+        j, h = hashing.send(same)
 
 
 class Counts:
@@ -151,24 +172,24 @@ class Counts:
         if not some:
             return
         self.total[weight is None] += len(some) if weight is None else float(weight.sum())
-        keys, sizes = _hashed(some)
-        left = np.arange(len(some))
-        for j, n in enumerate(ORDERS):
-            # a context that is not known by its last n characters is not known by more of them
-            left = left[sizes[left] >= n]
-            if not len(left) or not len(self.asked[j]):
-                return
-            k = keys[j][left]
-            at = np.minimum(np.searchsorted(self.asked[j], k), len(self.asked[j]) - 1)
-            same = self.asked[j][at] == k
-            left, at = left[same], at[same]
-            to = self.on if weight is None else self.end
+        to = self.on if weight is None else self.end
+        for j, left, at in _looked_up(some, self.asked):
             to[j] += np.bincount(at, None if weight is None else weight[left], len(to[j]))
 
 
 def known_contexts(some: list[str]) -> list[np.ndarray]:
-    keys, sizes = _hashed(some)
-    return [np.unique(keys[j][sizes >= n]) for j, n in enumerate(ORDERS)]
+    """Sorted hashes of the contexts, of each order."""
+    out = [np.zeros(0, np.uint64) for _ in ORDERS]
+    if not some:
+        return out
+    sizes = np.fromiter(map(len, some), np.int64, len(some))
+    hashing = _hashes(some)
+    j, h = next(hashing)
+    while True:
+        out[j] = np.unique(h[sizes >= ORDERS[j]])
+        if j + 1 == len(ORDERS):
+            return out
+        j, h = hashing.send(slice(None))
 
 
 # Weights of the features (see ``features``) before any fit, and what a fit is drawn to where it has little to go by.
@@ -250,7 +271,7 @@ class EndModel:
                 places.append(len(whole))
                 weights.append(min(times, MOST))
             ends += contexts(core, places)
-            ons += contexts(core, [i for i in range(1, len(core)) if core[i] not in ".!?\n" and core[i - 1] not in ".!?\n" and not core[i - 1].isspace()])
+            ons += contexts(core, [m.start() for m in INSIDE.finditer(core)])
         return ends, np.array(weights, float), ons
 
     def set_counts(self, counts: Counts) -> None:
@@ -339,18 +360,9 @@ class EndModel:
     def goes_on(self, cores: list[str]) -> np.ndarray:
         """Log-odds of "goes on" against "ends" given each final context, without the prior of either."""
         p = np.full(len(cores), self.base[0] / (self.base[0] + self.base[1]))
-        if cores:
-            keys, sizes = _hashed([mask_tail(c)[-DEPTH:] for c in cores])
-            left = np.arange(len(cores))
-            for j, n in enumerate(ORDERS):
-                left = left[sizes[left] >= n]
-                if not len(left) or not len(self.hash[j]):
-                    break
-                at = np.minimum(np.searchsorted(self.hash[j], keys[j][left]), len(self.hash[j]) - 1)
-                same = self.hash[j][at] == keys[j][left]
-                left, at = left[same], at[same]
-                e, c = self.end[j][at].astype(float), self.on[j][at].astype(float)
-                p[left] = (e + KAPPA * p[left]) / (e + c + KAPPA)
+        for j, left, at in _looked_up([mask_tail(c)[-DEPTH:] for c in cores], self.hash):
+            e, c = self.end[j][at].astype(float), self.on[j][at].astype(float)
+            p[left] = (e + KAPPA * p[left]) / (e + c + KAPPA)
         p = np.clip(p, 1e-7, 1 - 1e-7)
         return np.log((1 - p) / p) - math.log(self.base[1] / self.base[0])
 
@@ -501,7 +513,7 @@ def fit_end_model(rows: DataFrame, lang_model: langid.EcocModel, text_col: str =
         for j, a in enumerate(known):
             yield pd.DataFrame({"j": j, "key": a.view(np.int64), "n": 0.0})
 
-    got = values.mapInPandas(ask, "j int, key bigint, n double").groupBy("j", "key").agg(F.sum("n").alias("n")).toPandas()
+    got = values.mapInPandas(ask, "j int, key bigint, n double").groupBy("j", "key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     sums = got[got["j"] < 0].set_index("key")["n"].reindex(range(6), fill_value=0.0).to_numpy()
     hold = sums[0] >= 50  # else too few to hold any out
     asked = share(spark, [np.sort(got["key"][got["j"] == j].to_numpy(np.int64).view(np.uint64)) for j in range(len(ORDERS))])
@@ -518,7 +530,7 @@ def fit_end_model(rows: DataFrame, lang_model: langid.EcocModel, text_col: str =
             at = np.flatnonzero(counts.end[j] + counts.on[j])
             yield pd.DataFrame({"j": j, "at": at, "e": counts.end[j][at], "o": counts.on[j][at]})
 
-    got = values.mapInPandas(count, "j int, at int, e double, o double").groupBy("j", "at").agg(F.sum("e").alias("e"), F.sum("o").alias("o")).toPandas()
+    got = values.mapInPandas(count, "j int, at int, e double, o double").groupBy("j", "at").agg(F.sum("e").alias("e"), F.sum("o").alias("o")).toArrow().to_pandas()
     counts = Counts(received(asked))
     counts.total = got.loc[got["j"] < 0, ["e", "o"]].sum().tolist()
     for j in range(len(ORDERS)):

@@ -187,6 +187,18 @@ def test_fit_counts_every_value(make, lm):
         assert np.allclose(got.weights, want.weights, atol=1e-6) and np.allclose(got.log_odds_many(*columns), want.log_odds_many(*columns), atol=1e-6)
 
 
+def test_defects_stand_on_a_fit_of_all_answers(spark, tmp_path):
+    """The model that p5_found judges by has counted the places of every answer that is not held out."""
+    from evalweave.llm import queries
+
+    rows = [(i, t, float(i % 40 + 5)) for i, t in enumerate({f"{t} Row {i}." for i, (t, _, _) in enumerate(cases(5600, 31))})]
+    spark.createDataFrame(rows, "gen_id long, answer string, tokens_out double").write.parquet(f"{tmp_path}/generation.parquet")
+    rng = random.Random(5)
+    spark.createDataFrame([(text(x, 3, rng), x) for x in ("en", "de") for _ in range(40)], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    _, em = queries._models(spark, str(tmp_path), spark.read.parquet(f"{tmp_path}/generation.parquet"))
+    assert em.base[1] == len(em.occurrences([(t, k, "en", 1) for _, t, k in rows if not truncation.held_out(t, 1)])[2])
+
+
 def test_contexts_are_those_of_single_places():
     t = "In 1990 Anna Maria Lund  moved to Old Town.\nThe Mill of Lunley\tstood Still. " * 3
     assert truncation.contexts(t, list(range(1, len(t)))) == [truncation.mask_tail(t[:i])[-24:] for i in range(1, len(t))]
