@@ -52,6 +52,8 @@ DEBRIS = re.compile(r"(?:\\+|…|\.\.\.+|\[(?:\.{3}|…|truncated|cut)\]|\((?:mo
 SOFT = re.compile(r"^(?:[,;:/–—-]|\*{1,3}|•)$")
 CITE = re.compile(r"(?:\s*\[\d+(?:,\s*\d+)*\]|\s*\((?:see|vgl\.|voir|ver|zie|vedi|cf\.)?\s*[^\W\d_]*\s*\[?\d+\]?\)|\s[-–—]\s\S+\.\S+|\s\(?(?:https?://|www\.)\S+)$")
 CLOSE = re.compile(r"[\s\"'”’»)*_`}\]​﻿]+$")
+CLOSING = "".join(c for c in map(chr, [*range(0x3001), 0xFEFF]) if CLOSE.match(c))
+LEFT = set("\\….])�*_[({<;-–—•,:/")  # how DEBRIS may end, apart from tags, entities and numbers
 FINAL = ".!?。！？"
 BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s")
 
@@ -65,14 +67,15 @@ def peel(text: str) -> tuple[str, bool, bool, bool]:
     t = text.rstrip().rstrip("​﻿").rstrip()
     hard = soft = False
     for _ in range(4):
-        closed = CLOSE.sub("", t)
+        closed = t.rstrip(CLOSING)
         if closed and closed[-1] in FINAL and not closed.endswith(".."):
             return closed, hard, soft, True
-        m = CITE.search(t)
+        last = t.rsplit(None, 1)[-1] if t else ""
+        m = CITE.search(t) if "." in last or "/" in last or t.endswith(("]", ")")) else None
         if m and m.start() > 0:
-            before = CLOSE.sub("", t[: m.start()].rstrip())
+            before = t[: m.start()].rstrip().rstrip(CLOSING)
             return before, hard, soft, True
-        m = DEBRIS.search(t)
+        m = DEBRIS.search(t) if t[-1:] in LEFT or "<" in t or "&" in t[-10:] or t[-1:].isdigit() and "[" in t else None
         if not m:
             break
         if SOFT.match(m[0]):
@@ -80,7 +83,7 @@ def peel(text: str) -> tuple[str, bool, bool, bool]:
         else:
             hard = True
         t = t[: m.start()].rstrip()
-    stripped = CLOSE.sub("", t)
+    stripped = t.rstrip(CLOSING)
     return stripped, hard, soft, bool(stripped) and stripped[-1] in FINAL
 
 
@@ -124,38 +127,145 @@ def contexts(core: str, places: list[int]) -> list[str]:
     return out
 
 
-def _hashes(some: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each order n: its place, and the hash of the last n characters of each context. Send back which contexts to go on with."""
-    codes = np.frombuffer("".join([c.rjust(DEPTH, "\0") for c in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), DEPTH)
-    h = np.full(len(some), 0x9E3779B97F4A7C15, np.uint64)
-    left = np.arange(len(some))
-    for n in range(1, DEPTH + 1):
-        h = (h ^ codes[left, DEPTH - n]) * np.uint64(0x100000001B3D4F95)
-        h ^= h >> np.uint64(29)
-        if n in ORDERS:
-            kept = yield ORDERS.index(n), h
-            left, h = left[kept], h[kept]
+class Chains:
+    """Contexts as chains of characters: the code of each, the one before it (0: none), and the last one of every context.
 
+    Contexts of one text share their characters, so that none is written out.
+    """
+
+    def __init__(self, codes: np.ndarray, before: np.ndarray, last: np.ndarray):
+        self.codes, self.before, self.last = codes, before, last
+
+    @staticmethod
+    def of(some: list[str]) -> Chains:
+        """Contexts that are written out."""
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        ends = np.cumsum(sizes)
+        before = np.maximum(np.arange(sizes.sum() + 1) - 1, 0)
+        before[(ends - sizes + 1)[sizes > 0]] = 0
+        return Chains(_points("\0" + "".join(some)), before, np.where(sizes > 0, ends, 0))
+
+    def hashes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each order n: its place, the hash of the last n characters of each context, and which have so many. Send back which contexts to go on with."""
+        at, h = self.last, np.full(len(self.last), 0x9E3779B97F4A7C15, np.uint64)
+        for n in range(1, DEPTH + 1):
+            h = (h ^ self.codes[at]) * np.uint64(0x100000001B3D4F95)
+            h ^= h >> np.uint64(29)
+            if n in ORDERS:
+                kept = yield ORDERS.index(n), h, at > 0
+                at, h = at[kept], h[kept]
+            at = self.before[at]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+# By code point, the last for all above: what may stand before a place at which a text goes on, and after it (INSIDE).
+GOES_BEFORE = np.array([i > 0 and not chr(i).isspace() and chr(i) not in ".!?" for i in range(0x3002)])
+GOES_AFTER = np.array([i > 0 and chr(i) not in ".!?\n" for i in range(0x3002)])
+
+
+def going_on(cores: list[str]) -> list[Chains]:
+    """The contexts of ``contexts`` before all places at which the texts go on, from one look at all texts.
 
-def _looked_up(some: list[str], hashes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    Every character follows the one in front of it, the first one a ^; white
+    space in a row is one blank.  A letter of a name in mid-sentence follows a §
+    with one letter of the name between.
+    """
+    odd = {i for i, c in enumerate(cores) if "^" in c or "\0" in c}
+    plain = [c if i not in odd else "" for i, c in enumerate(cores)]
+    text = re.sub(r"\d", "0", "\0\0" + "\0".join(plain) + "\0")
+    starts = np.cumsum([2, *(len(c) + 1 for c in plain[:-1])]) if plain else np.zeros(0, np.int64)
+    s, e, name = np.array([(*m.span(), m.start(2)) for m in BREAK.finditer(text)], np.int64).reshape(-1, 3).T
+    named = name > 0
+    codes = _points(text)
+    kind = np.minimum(codes, len(GOES_AFTER) - 1).astype(np.int64)
+    at = np.flatnonzero(GOES_BEFORE[kind[:-1]] & GOES_AFTER[kind[1:]])  # characters before the places
+    if len(s):
+        # long names or blanks at the start: ``mask_tail`` does not look back so far
+        own = np.searchsorted(starts, s, "right") - 1
+        lost = np.where(named, e - s - 2 - np.minimum(2, e - name - 1), e - s - 1)
+        first = np.searchsorted(own, own)
+        so_far = np.cumsum(lost)
+        so_far -= (so_far - lost)[first]
+        begin = np.where(first == np.arange(len(s)), starts[own], np.roll(e, 1))
+        shrunk = set(own[(so_far >= 32) & (1 + begin - starts[own] - (so_far - lost) <= DEPTH)].tolist())
+        if shrunk:
+            at = at[~np.isin(np.searchsorted(starts, at, "right") - 1, list(shrunk))]
+            odd |= shrunk
+    size = len(codes)
+    before = np.maximum(np.arange(size) - 1, 0)
+    codes[starts - 1], before[starts - 1] = ord("^"), 0
+    blank = np.where(named, name, e) - 1
+    codes[blank], before[blank] = ord(" "), s - 1
+    s, e, name, blank = s[named], e[named], name[named], blank[named]
+    marks = size + np.arange(len(s))
+    before[name + 1] = marks
+    n = np.maximum(e - name - 3, 0)
+    which = np.repeat(np.arange(len(s)), n)
+    letters = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + name[which] + 2
+    before[letters + 1] = size + len(s) + np.arange(len(letters))
+    more_codes, more_before = [np.full(len(s), ord("§")), codes[letters]], [blank, marks[which]]
+    # a text that is as yet one capitalised word ends as a bare name
+    bare = [next((j for j, x in enumerate(c[: DEPTH - 1]) if not x.isalpha()), min(len(c), DEPTH - 1)) if c[:1].isupper() else 0 for c in plain]
+    n = np.array(bare, np.int64)
+    which = np.repeat(np.arange(len(n)), n)
+    letters = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[which]
+    base = size + len(s) + len(more_codes[1])
+    second, last = base + len(n) + np.arange(len(letters)), base + len(n) + len(letters) + np.arange(len(letters))
+    more_codes += [np.full(len(n), ord("§")), codes[letters - 1], codes[letters]]
+    more_before += [starts - 1, base + which, second]
+    end = np.arange(size)
+    end[letters] = last
+    out = Chains(np.concatenate([codes, *more_codes]).astype(np.uint64), np.concatenate([before, *more_before]), end[at])
+    return [out, *[Chains.of(contexts(cores[i], [m.start() for m in INSIDE.finditer(cores[i])])) for i in sorted(odd)]]
+
+
+class Known:
+    """Sorted hashes, found by their first bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = len(hashes).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where each stands, -1 for unknown ones."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        part = (h >> self.shift).astype(np.int64)
+        at, stop = self.first[part], self.first[part + 1]
+        same = self.hashes.take(at, mode="clip") == h  # in an empty part, the next part's: another one
+        out = np.where(same, at, -1)
+        left = np.flatnonzero(~same & (at + 1 < stop))
+        while len(left):
+            at[left] += 1
+            same = self.hashes[at[left]] == h[left]
+            out[left[same]] = at[left[same]]
+            left = left[~same & (at[left] + 1 < stop[left])]
+        return out
+
+
+def _looked_up(some: Chains, known: list[Known]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each order: its place, the contexts that are known by so many characters, and where they stand in its sorted hashes.
 
     A context that is not known by its last n characters is not known by more of them.
     """
-    if not some:
+    if not len(some.last):
         return
-    sizes = np.fromiter(map(len, some), np.int64, len(some))
-    left = np.arange(len(some))
-    hashing = _hashes(some)
-    j, h = next(hashing)
-    while len(hashes[j]):
-        at = np.minimum(np.searchsorted(hashes[j], h), len(hashes[j]) - 1)
-        same = np.flatnonzero((hashes[j][at] == h) & (sizes[left] >= ORDERS[j]))
+    left = np.arange(len(some.last))
+    hashing = some.hashes()
+    j, h, enough = next(hashing)
+    while True:
+        at = known[j].find(h)
+        same = np.flatnonzero((at >= 0) & enough)
         left = left[same]
         yield j, left, at[same]
         if not len(left) or j + 1 == len(ORDERS):
             return
-        j, h = hashing.send(same)
+        j, h, enough = hashing.send(same)
 
 
 class Counts:
@@ -163,17 +273,16 @@ class Counts:
 
     def __init__(self, asked: list[np.ndarray]):
         self.asked = asked
+        self.known = [Known(a) for a in asked]
         self.end = [np.zeros(len(a)) for a in asked]
         self.on = [np.zeros(len(a)) for a in asked]
         self.total = [0.0, 0.0]  # ends and places where texts go on, known or not
 
-    def add(self, some: list[str], weight: np.ndarray | None = None) -> None:
+    def add(self, some: Chains, weight: np.ndarray | None = None) -> None:
         """Contexts in which texts go on, or end so often as ``weight`` says."""
-        if not some:
-            return
-        self.total[weight is None] += len(some) if weight is None else float(weight.sum())
+        self.total[weight is None] += len(some.last) if weight is None else float(weight.sum())
         to = self.on if weight is None else self.end
-        for j, left, at in _looked_up(some, self.asked):
+        for j, left, at in _looked_up(some, self.known):
             to[j] += np.bincount(at, None if weight is None else weight[left], len(to[j]))
 
 
@@ -182,16 +291,16 @@ def known_contexts(some: list[str]) -> list[np.ndarray]:
     out = [np.zeros(0, np.uint64) for _ in ORDERS]
     if not some:
         return out
-    sizes = np.fromiter(map(len, some), np.int64, len(some))
-    hashing = _hashes(some)
-    j, h = next(hashing)
+    hashing = Chains.of(some).hashes()
+    j, h, enough = next(hashing)
     while True:
-        out[j] = np.unique(h[sizes >= ORDERS[j]])
+        out[j] = np.unique(h[enough])
         if j + 1 == len(ORDERS):
             return out
-        j, h = hashing.send(slice(None))
+        j, h, enough = hashing.send(slice(None))
 
 
+FINAL_POINTS = _points(FINAL)
 # Weights of the features (see ``features``) before any fit, and what a fit is drawn to where it has little to go by.
 WEIGHTS = np.array([-1.5, 1.0, 4.0, 1.0, 2.0, 5.0, 7.0, 5.0, 1.0, -2.0, -9.0, -5.0, 1.0])
 PRIOR = 0.08  # share of cut values for which weights and thresholds are balanced
@@ -211,6 +320,7 @@ class EndModel:
         self.hash: list[np.ndarray] = [np.zeros(0, np.uint64) for _ in ORDERS]
         self.end: list[np.ndarray] = [np.zeros(0) for _ in ORDERS]
         self.on: list[np.ndarray] = [np.zeros(0) for _ in ORDERS]
+        self.known: list[Known] | None = None  # of ``hash``, made where it is needed
         self.base = (1.0, 80.0)
         self.rates: dict[str, tuple[float, float]] = {}
         self.weights = WEIGHTS
@@ -244,7 +354,7 @@ class EndModel:
         counted, rest = [v for v, own in zip(values, kept) if own], [v for v, own in zip(values, kept) if not own]
         ends, weights, ons = self.occurrences(counted)
         counts = Counts(known_contexts(ends + ons) if ends + ons else self.hash)
-        counts.add(ends, weights), counts.add(ons)
+        counts.add(Chains.of(ends), weights), counts.add(Chains.of(ons))
         self.set_counts(counts)
         seen = self.seen(rest)
         self.set_weights(self.weighed(rest, *shares(seen)))
@@ -256,7 +366,12 @@ class EndModel:
 
     def occurrences(self, values: list[Value]) -> tuple[list[str], np.ndarray, list[str]]:
         """(contexts in which the values end, how often, contexts in which they go on)."""
-        ends, weights, ons = [], [], []
+        ends, weights, cores = self.ends(values)
+        return ends, weights, [x for c in cores for x in contexts(c, [m.start() for m in INSIDE.finditer(c)])]
+
+    def ends(self, values: list[Value]) -> tuple[list[str], np.ndarray, list[str]]:
+        """(contexts in which the values end, how often, cores of the values)."""
+        ends, weights, cores = [], [], []
         for t, tok, lang, times in values:
             core, hard, soft, done = peel(t)
             at, places = 0, []
@@ -271,10 +386,14 @@ class EndModel:
                 places.append(len(whole))
                 weights.append(min(times, MOST))
             ends += contexts(core, places)
-            ons += contexts(core, [m.start() for m in INSIDE.finditer(core)])
-        return ends, np.array(weights, float), ons
+            cores.append(core)
+        return ends, np.array(weights, float), cores
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
     def set_counts(self, counts: Counts) -> None:
+        self.known = None
         self.base = (max(1.0, counts.total[0]), max(1.0, counts.total[1]))
         for j, n in enumerate(ORDERS):
             keep = counts.end[j] + counts.on[j] >= (1 if n <= 3 else 2)
@@ -304,11 +423,13 @@ class EndModel:
                 continue
             rng = np.random.default_rng(xxhash.xxh32_intdigest(t))
             out.append((core.rstrip(FINAL), tok, lang, False, bare * times, None, False))
-            places = [i for i in range(max(8, len(core) // 5), len(core) - 3) if core[i - 1] not in FINAL and core[i] not in FINAL]
+            final = np.isin(_points(core), FINAL_POINTS)
+            places = np.flatnonzero(~(final[:-1] | final[1:])) + 1
+            places = places[(places >= max(8, len(core) // 5)) & (places < len(core) - 3)]
             # cut later, so that the count of the call stands; without a count; at a field's limit; at a call's limit
             for w, tells, limit in ((1.0, True, None), (unknown, False, None), (0.2 * bool(self.sizes), rng.random() > unknown, 5), (0.2 * bool(self.caps and tok), None, 6)):
-                at = [i for i in places if limit != 6 or i >= LONG]
-                if at and w:
+                at = places[places >= LONG] if limit == 6 else places
+                if len(at) and w:
                     piece = core[: rng.choice(at)]
                     own = tok if tells else float(max(1, round(tok * len(piece) / len(core)))) if tells is None else None
                     out.append((piece + (BREAKS[rng.integers(len(BREAKS))] if rng.random() < 0.25 else ""), own, lang, True, w, limit, False))
@@ -360,7 +481,9 @@ class EndModel:
     def goes_on(self, cores: list[str]) -> np.ndarray:
         """Log-odds of "goes on" against "ends" given each final context, without the prior of either."""
         p = np.full(len(cores), self.base[0] / (self.base[0] + self.base[1]))
-        for j, left, at in _looked_up([mask_tail(c)[-DEPTH:] for c in cores], self.hash):
+        if self.known is None:
+            self.known = [Known(h) for h in self.hash]
+        for j, left, at in _looked_up(Chains.of([mask_tail(c)[-DEPTH:] for c in cores]), self.known):
             e, c = self.end[j][at].astype(float), self.on[j][at].astype(float)
             p[left] = (e + KAPPA * p[left]) / (e + c + KAPPA)
         p = np.clip(p, 1e-7, 1 - 1e-7)
@@ -523,8 +646,10 @@ def fit_end_model(rows: DataFrame, lang_model: langid.EcocModel, text_col: str =
         m, counts = received(ready), Counts(received(asked))
         for pdf in batches:
             for vs in parts(pdf):
-                ends, often, ons = m.occurrences([v for v in vs if not hold or not held_out(v[0], v[3])])
-                counts.add(ends, often), counts.add(ons)
+                ends, often, cores = m.ends([v for v in vs if not hold or not held_out(v[0], v[3])])
+                counts.add(Chains.of(ends), often)
+                for some in going_on(cores):
+                    counts.add(some)
         yield pd.DataFrame({"j": [-1], "at": [0], "e": [counts.total[0]], "o": [counts.total[1]]})
         for j in range(len(ORDERS)):
             at = np.flatnonzero(counts.end[j] + counts.on[j])

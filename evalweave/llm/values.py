@@ -25,5 +25,7 @@ def bare(answer: str) -> str:
 def is_empty(answer: str | None) -> bool:
     if answer is None or not answer.strip():
         return True
+    if "<" not in answer and "&" not in answer and len(tokens(bare(answer[:100]))) > 4:
+        return False  # what follows takes no word away
     toks = tokens(bare(answer))
     return not toks or len(toks) <= 4 and " ".join(toks) in PLACEHOLDERS and not (len(toks) == 1 and re.fullmatch(r"[^\W\d_]", answer.strip()))

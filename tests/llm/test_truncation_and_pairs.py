@@ -204,6 +204,22 @@ def test_contexts_are_those_of_single_places():
     assert truncation.contexts(t, list(range(1, len(t)))) == [truncation.mask_tail(t[:i])[-24:] for i in range(1, len(t))]
 
 
+def test_places_are_counted_as_chains_not_strings(monkeypatch):
+    """Chains hold the contexts of all places at which texts go on, of odd texts too; no string is made for a place of any other."""
+    rng = random.Random(4)
+    odd = ["", "A", "Abc", "Ä.", "?", " x", "^ a^b", "a\0b", "Aa" + "b" * 50 + " C" + "d" * 60 + " e", "x" + " " * 80 + "y Z", "Abcdefghijklmnopqrstuvwxyzabc d", "In 1990 Anna Maria Lund  moved.\nThe Mill\tstood Still", "Жанна Д’Арк 😀 Ы"]
+    cores = [t for t, _, _ in cases(200, 3)] + odd + ["".join(rng.choice(["a", "B", " ", "\n", ".", "7", " Lund", " Anna Maria", "é", "\u3000"]) for _ in range(rng.randint(1, 90))) for _ in range(400)]
+    strings = [x for c in cores for x in truncation.contexts(c, [m.start() for m in truncation.INSIDE.finditer(c)])]
+    asked = truncation.known_contexts(sorted(set(strings))[::2])
+    want, got = truncation.Counts(asked), truncation.Counts(asked)
+    want.add(truncation.Chains.of(strings))
+    for some in truncation.going_on(cores):
+        got.add(some)
+    assert got.total == want.total and all((a == b).all() for a, b in zip(got.on, want.on)) and sum(map(sum, want.on)) > 10_000
+    monkeypatch.setattr(truncation, "contexts", lambda core, places: pytest.fail("a context is written out"))
+    assert sum(len(x.last) for x in truncation.going_on([t for t, _, _ in cases(200, 3)])) > 10_000
+
+
 def test_the_n_gram_model_is_needed(em):
     """Where no count tells of the call, cuts are found by their final context; without its weight they are lost."""
     got = [(t, cut) for t, _, cut in cases(600, 11)]
