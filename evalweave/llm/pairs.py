@@ -124,6 +124,12 @@ def lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def aligns(words: list[str], template: list[str]) -> bool:
+    """Their longest common subsequence is three quarters of the template and most of the words."""
+    least = max(0.75 * len(template), 0.65 * len(words))
+    return least <= len(template) and sum(w in template for w in words) >= least and lcs(words, template) >= least
+
+
 def unnumbered(text: str) -> str:
     """The text without citation marks, and without list numbers where they count up from 1."""
     t = CITATION.sub(" ", text)
@@ -170,10 +176,16 @@ def is_copy(question: str | None, answer: str) -> bool:
     times = max(1, round(len(a) / len(q)))
     if len(a) < 0.7 * len(q):
         return False
+    known = set(q)
+    shared = sum(t in known for t in a)  # no subsequence is longer
+    if shared < 0.75 * len(q):
+        return False
     grams = {tuple(q[i : i + 5]) for i in range(len(q) - 4)}
     mine = [tuple(a[i : i + 5]) for i in range(len(a) - 4)]
     # the shingles that span two repetitions are not in the question
     inside = sum(g in grams for g in mine) / max(1, len(mine) - 4 * (times - 1)) if mine else 0.0
+    if inside < 0.8 and shared < max(0.75 * len(q) * times, 0.8 * len(a)):
+        return False
     common = lcs(a, q * times)
     return common >= 0.75 * len(q) * times and common >= 0.8 * len(a) or inside >= 0.8 and common >= 0.8 * len(q)
 
@@ -191,7 +203,7 @@ def refusal_sentence(sentence: str, asked: set[str]) -> str:
     for clause in re.split(r"[,:]", CITATION.sub(" ", sentence)):
         whole = tokens(clause)
         c = [t for t in whole if t not in asked or t in MUTE]
-        if any(lcs(x, t) >= max(0.75 * len(t), 0.65 * len(x)) for x in (whole, [t for t in whole if t not in CIVIL], [t for t in c if t not in CIVIL]) for t in REFUSAL_TOKENS):
+        if any(aligns(x, t) for x in (whole, [t for t in whole if t not in CIVIL], [t for t in c if t not in CIVIL]) for t in REFUSAL_TOKENS):
             aligned = True
         else:
             s += c
@@ -206,12 +218,21 @@ def refusal_sentence(sentence: str, asked: set[str]) -> str:
     return "filler" if have & CIVIL or have & SOURCE and have & SAY else "content"
 
 
+def parts(text: str) -> Iterator[str]:
+    """Sentences, one by one: the first mostly decides."""
+    at = 0
+    for m in SENTENCE.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 def is_refusal(question: str | None, answer: str) -> bool:
     """Every sentence refuses or goes with a refusal, and at least one refuses."""
     text = WRAP.sub("", bare(answer)).strip(" \"'“”*}")
     asked = set(tokens(question or ""))
     refused = False
-    for x in SENTENCE.split(text):
+    for x in parts(text):
         if WORD.search(x):
             kind = refusal_sentence(x, asked)
             if kind == "content":

@@ -139,6 +139,14 @@ def test_long_copies_and_refusals():
         assert not pairs.is_refusal(q, a), a[-80:]
 
 
+def test_sound_pairs_are_not_aligned(monkeypatch):
+    """Words are aligned only where enough of them are shared for it to matter, and sentences after the first that answers are not looked at."""
+    q = "Which town uses the old mill of Lunley?"
+    monkeypatch.setattr(pairs, "lcs", lambda a, b: pytest.fail(f"aligned: {a}"))
+    for a in ("The town of Arden has kept it since 1880, and its people grind flour there. " + "I don't know. " * 50, "Arden lies above the river, so I guess no one there needs it."):
+        assert not pairs.is_copy(q, a) and not pairs.is_refusal(q, a), a
+
+
 def test_rows(make, lm, em):
     rng = random.Random(9)
     good = text("en", 3, rng)
